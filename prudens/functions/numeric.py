@@ -5,6 +5,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from prudens.functions import sqltext
+
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -13,7 +15,9 @@ def col(c) -> Column:
 def half_up(c, digits: int) -> Column:
     """Round half up on the scaled value; plain double arithmetic, so it stays in codegen.
     Magnitudes from 1e11 on have no decimals worth rounding and pass through."""
-    scale, c = float(10 ** digits), col(c).cast("double")
+    if isinstance(c, str):
+        return F.expr(sqltext.half_up(c, digits))
+    scale, c = float(10 ** digits), c.cast("double")
     return F.when(F.abs(c) < 1e11, F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(c)
 
 

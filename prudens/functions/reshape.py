@@ -11,19 +11,19 @@ def to_long(wide: DataFrame, ids: list[str], metrics: list[str], metric: str = "
     keys (and more) over the long rows need no shuffle of their own."""
     if cluster_by:
         wide = wide.repartition(*cluster_by)
-    cells = F.array(*[F.struct(F.lit(m).alias(metric), F.col(m).cast("double").alias(value)) for m in metrics])
-    out = wide.select(*ids, F.explode(cells).alias("_c")).select(*ids, f"_c.{metric}", f"_c.{value}")
+    cells = ", ".join(f"struct('{m}' as {metric}, cast(`{m}` as double) as {value})" for m in metrics)
+    out = wide.selectExpr(*ids, f"explode(array({cells})) as _c").select(*ids, f"_c.{metric}", f"_c.{value}")
     return out if keep_null else out.where(F.col(value).isNotNull())
 
 
 def to_wide(long: DataFrame, ids: list[str], metrics: list[str], metric: str = "metric", value: str = "value",
             suffix: str = "") -> DataFrame:
     """Pivot over a given metric list: conditional aggregates, no extra job to find the columns."""
-    aggs = [F.max(F.when(F.col(metric) == m, F.col(value))).alias(m + suffix) for m in metrics]
+    aggs = [F.expr(f"max(case when {metric} = '{m}' then {value} end) as {m}{suffix}") for m in metrics]
     return long.where(F.col(metric).isin(metrics)).groupBy(*ids).agg(*aggs)
 
 
 def ensure_columns(df: DataFrame, cols, dtype: str = "double") -> DataFrame:
     """Add absent metric columns as typed nulls."""
     missing = [c for c in cols if c not in df.columns]
-    return df.select("*", *[F.lit(None).cast(dtype).alias(c) for c in missing]) if missing else df
+    return df.selectExpr("*", *[f"cast(null as {dtype}) as {c}" for c in missing]) if missing else df

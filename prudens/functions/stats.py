@@ -14,14 +14,21 @@ DEFAULT_BUCKETS = 32
 
 
 def value_positions(df: DataFrame, keys: list[str], value: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row per distinct non-null value of each group: ``n_eq``, ``n_below``, ``n_total``."""
+    """One row per distinct non-null value of each group: ``n_eq``, ``n_below``, ``n_total``.
+    ``buckets`` is a power of two."""
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
               .agg(F.count(F.lit(1)).alias("n_eq")))
     probes = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probes, 10 * buckets).alias("_cuts"))
-    placed = (counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts)))
-    placed = placed.select(*keys, value, "n_eq",
-                           F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_b"))
+    placed = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))
+    # number of cuts below the value, by binary search: stays in generated code
+    placed = placed.select(*keys, value, "n_eq", "_cuts", F.lit(0).alias("_b"))
+    step = buckets // 2
+    while step:
+        placed = placed.selectExpr(*[f"`{k}`" for k in keys], value, "n_eq", "_cuts",
+                                   f"_b + if(_cuts[_b + {step - 1}] < {value}, {step}, 0) as _b")
+        step //= 2
+    placed = placed.drop("_cuts")
     per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("n_eq").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(

@@ -1,10 +1,10 @@
 """Ratios derived from reported components; reported values are never overwritten."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from prudens import config
-from prudens.functions.numeric import null_sum, positive
+from prudens.functions import sqltext
 from prudens.functions.reshape import ensure_columns
 from prudens.functions.stats import null_share
 
@@ -41,21 +41,14 @@ COMPONENTS = sorted({c for parts in PERCENT_RATIOS.values() for side in parts fo
                     | {c for pair in DIFFERENCES.values() for c in pair})
 
 
-def _raw(name: str) -> Column:
+def _raw(name: str) -> str:
     """The derived value before its ceiling. Divisors must be positive, so no division by zero."""
     if name in DIFFERENCES:
-        a, b = DIFFERENCES[name]
-        return F.col(a) - F.col(b)
+        return " - ".join(DIFFERENCES[name])
     if name == GAP_RATIO:
-        gap = F.col("rate_sensitive_assets") - F.col("rate_sensitive_liabilities")
-        return F.lit(100.0) * gap / positive("equity")
-    num, den = PERCENT_RATIOS[name]
-    return F.lit(100.0) * null_sum(*num) / positive(null_sum(*den))
-
-
-def _dropped(name: str) -> Column:
-    ceiling = config.RATIO_CEILINGS.get(name)
-    return F.lit(False) if ceiling is None else _raw(name) > F.lit(ceiling)
+        return "100D * (rate_sensitive_assets - rate_sensitive_liabilities) / (case when equity > 0 then equity end)"
+    num, den = (side[0] if len(side) == 1 else sqltext.total(side) for side in PERCENT_RATIOS[name])
+    return f"100D * {num} / (case when {den} > 0 then {den} end)"
 
 
 def derive_ratios(wide: DataFrame) -> DataFrame:
@@ -64,19 +57,18 @@ def derive_ratios(wide: DataFrame) -> DataFrame:
     base = ensure_columns(wide, COMPONENTS)
     out = []
     for name in DERIVED:
-        value = F.when(~_dropped(name), _raw(name)) if name in config.RATIO_CEILINGS else _raw(name)
-        out.append((F.coalesce(F.col(name).cast("double"), value) if name in given else value).alias(name))
-    return base.select(*[c for c in wide.columns if c not in DERIVED], *out)
+        ceiling = config.RATIO_CEILINGS.get(name)
+        value = _raw(name) if ceiling is None else f"case when {_raw(name)} <= {ceiling}D then {_raw(name)} end"
+        out.append((f"coalesce(cast({name} as double), {value})" if name in given else f"({value})") + f" as {name}")
+    return base.selectExpr(*[c for c in wide.columns if c not in DERIVED], *out)
 
 
 def ratio_gaps(wide: DataFrame) -> DataFrame:
     """One row per derived value dropped at its ceiling, whether or not a reported value stood in."""
     base = ensure_columns(wide, COMPONENTS)
-    hits = F.array(*[F.struct(F.lit(n).alias("metric"), _raw(n).alias("value"), F.lit(c).alias("ceiling"))
-                     for n, c in config.RATIO_CEILINGS.items()])
-    return (base.select("bank_id", "period", F.explode(F.filter(hits, lambda h: h["value"] > h["ceiling"])).alias("h"))
-            .select("bank_id", "period", "h.metric", F.lit("DENOMINATOR_COLLAPSED").alias("reason"),
-                    F.col("h.value").alias("derived_value"), F.col("h.ceiling").alias("ceiling")))
+    hits = ", ".join(f"struct('{n}' as metric, {_raw(n)} as value, {c}D as ceiling)" for n, c in config.RATIO_CEILINGS.items())
+    return (base.selectExpr("bank_id", "period", f"explode(filter(array({hits}), h -> h.value > h.ceiling)) as h")
+            .selectExpr("bank_id", "period", "h.metric", "'DENOMINATOR_COLLAPSED' as reason", "h.value as derived_value", "h.ceiling"))
 
 
 def base_metrics(features: DataFrame, candidates: list[str], min_ratio: float | None = None) -> list[str]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prudens import config
-from prudens.functions.numeric import clip, half_up, null_mean
+from prudens.functions import sqltext
+from prudens.functions.numeric import clip, half_up
 from prudens.functions.reshape import ensure_columns, to_long, to_wide
 from prudens.functions.stats import value_positions
 from prudens.functions.tables import literal_table
@@ -55,9 +56,9 @@ def rule_violation_score(findings: DataFrame, mandatory: list[str] | None = None
 
 def trend_score_expr(signs: dict[str, int] | None = None) -> Column:
     """Mean adverse rolling z, clipped to 0..3 and scaled to 0..100; 0 without any z."""
-    signs = signs or config.TREND_SCORE_METRICS
-    adverse = [F.when(F.col(f"{m}__roll_z").isNotNull(), F.greatest(F.lit(0.0), F.col(f"{m}__roll_z") * s)) for m, s in signs.items()]
-    return half_up(F.coalesce(clip(null_mean(adverse), 0, 3), F.lit(0.0)) / 3 * 100, 2)
+    adverse = [f"(case when {m}__roll_z is not null then greatest(0D, {m}__roll_z * {s}) end)"
+               for m, s in (signs or config.TREND_SCORE_METRICS).items()]
+    return F.expr(sqltext.half_up(f"coalesce({sqltext.clip(sqltext.mean(adverse), 0, 3)}, 0D) / 3 * 100", 2))
 
 
 def flag_clusters(findings: DataFrame) -> DataFrame:
@@ -90,50 +91,43 @@ def domain_scores(inputs: DataFrame, rule_scores: DataFrame, clusters: DataFrame
     """
     df = (inputs.join(rule_scores.select(*KEY, "credit_rule_pts", "liquidity_rule_pts"), KEY, "left")
           .join(clusters, KEY, "left"))
-    c = F.col
-    pct = lambda m: c(f"{m}__pct_rank")
-    inv = lambda m: 100 - pct(m)
-    hits = lambda col, step: F.when(F.coalesce(c(col), F.lit(0)) > 0, clip(c(col) * float(step), 0, 100))
-    df = df.select(
-        "*", pct("mlt_loan_ratio").alias("_structure"),
-        null_mean([inv("provision_to_loans"), pct("credit_cost_ratio")]).alias("_provision"),
-        null_mean([pct(m) for m in ("risky_sector_ratio", "real_estate_loan_ratio", "unsecured_loan_ratio",
-                                    "large_borrower_ratio", "largest_customer_group_ratio")]).alias("_concentration"),
-        null_mean([pct("accrued_interest_to_loans"), pct("offbalance_to_assets"), clip(c("bad_offbalance_ratio") / 5 * 100, 0, 100)]).alias("_offbalance"),
-        null_mean([clip((11 - c("car_solo")) / 3 * 100, 0, 100), clip((8 - c("equity_to_assets")) / 8 * 100, 0, 100)]).alias("_capital"),
-        null_mean([inv("casa"), F.when(c("deposits__qoq") < 0, clip(-c("deposits__qoq") * 5, 0, 100))]).alias("_deposit"),
-        pct("wholesale_funding_share").alias("_wholesale"), inv("liquid_assets_to_deposits").alias("_secondary"),
-        null_mean([clip(F.abs("rate_sensitive_gap_ratio") / 50 * 100, 0, 100), clip(F.abs("fx_position_ratio") / 20 * 100, 0, 100),
-                   clip((10 - c("solvency_30d_fx")) / 10 * 100, 0, 100)]).alias("_market"))
-    credit_core = [clip(c("npl_ratio") / 5 * 100, 0, 100), clip(c("group2_ratio") / 5 * 100, 0, 100),
-                   clip((100 - c("llr_coverage")) / 100 * 100, 0, 100), clip(c("credit_growth_yoy") / 40 * 100, 0, 100),
-                   c("_structure"), c("_provision"), c("_concentration"), c("_offbalance")]
-    liquid_core = [clip((c("ldr") - 70) / 30 * 100, 0, 100), clip(c("st_funding_for_mlt_loans") / 34 * 100, 0, 100),
-                   clip((20 - c("liquidity_reserve_ratio")) / 20 * 100, 0, 100), clip((15 - c("avg_liquid_asset_ratio")) / 15 * 100, 0, 100),
-                   clip((50 - c("solvency_30d_vnd")) / 50 * 100, 0, 100), c("_deposit"), c("_wholesale"), c("_secondary")]
-    supported = lambda core, support: F.when(F.coalesce(*core).isNotNull(), support)
-    blend = lambda signals, pts: F.coalesce(F.greatest(signals, F.when(signals.isNotNull(), pts)), F.when(pts > 0, pts))
-    pts = lambda name: F.coalesce(c(name), F.lit(0.0))
-    credit = null_mean([*credit_core, supported(credit_core, c("_capital")), hits("credit_flag_clusters", 25)])
-    liquid = null_mean([*liquid_core, supported(liquid_core, c("_market")), hits("liq_flag_clusters", 25)])
-    fraud_inputs = [c("npl_ratio__roll_z"), c("group2_ratio__roll_z"), c("profit_before_tax__qoq"), c("toi__qoq"), c("accrued_interest_days")]
-    fraud = null_mean([F.when((c("npl_ratio__roll_z") < -0.5) & (c("group2_ratio__roll_z") > 0.5), 80.0),
-                       F.when((c("profit_before_tax__qoq") > 20) & (c("toi__qoq") < 0), 70.0),
-                       clip((c("accrued_interest_days") - 60) / 120 * 100, 0, 100), hits("fraud_flag_clusters", 30)])
-    evaluable = F.coalesce(*fraud_inputs).isNotNull() | F.coalesce("has_findings", F.lit(False))
-    df = df.select("*", credit.alias("_cs"), liquid.alias("_ls"), F.when(evaluable, F.coalesce(fraud, F.lit(0.0))).alias("_fraud"))
-    df = df.select("*", blend(c("_cs"), pts("credit_rule_pts")).alias("_credit"), blend(c("_ls"), pts("liquidity_rule_pts")).alias("_liquidity"))
-    failure = null_mean([clip((10 - c("car_solo")) / 10 * 100, 0, 100), clip((8 - c("equity_to_assets")) / 8 * 100, 0, 100),
-                         clip((0.5 - c("roa")) / 1.0 * 100, 0, 100), c("_credit") * 0.5, c("_liquidity") * 0.5])
-    zero = lambda name: F.coalesce(c(name), F.lit(0).cast("bigint")).alias(name)
-    names = {"credit_risk_score": c("_credit"), "liquidity_risk_score": c("_liquidity"), "fraud_risk_proxy_score": c("_fraud"),
-             "failure_risk_proxy_score": failure, "credit_structure_score": c("_structure"), "credit_provision_score": c("_provision"),
-             "credit_concentration_score": c("_concentration"), "credit_offbalance_score": c("_offbalance"),
-             "credit_capital_score": c("_capital"), "liq_deposit_score": c("_deposit"), "liq_wholesale_score": c("_wholesale"),
-             "liq_secondary_score": c("_secondary"), "liq_market_score": c("_market")}
-    return df.select(*config.ID_COLS, *[half_up(e, 2).alias(n) for n, e in names.items()], zero("credit_flag_clusters"),
-                     zero("liq_flag_clusters"), zero("fraud_flag_clusters"), F.coalesce("fraud_flags", F.lit("")).alias("fraud_flags"),
-                     trend_score_expr().alias("trend_risk_score"))
+    mean, rank = sqltext.mean, (lambda m: f"{m}__pct_rank")
+    inverse = lambda m: f"(100 - {m}__pct_rank)"
+    ramp = lambda e: sqltext.clip(f"({e}) * 100", 0, 100)
+    hits = lambda col, step: f"(case when coalesce({col}, 0) > 0 then least({col} * {float(step)}D, 100D) end)"
+    groups = {
+        "credit_structure_score": rank("mlt_loan_ratio"),
+        "credit_provision_score": mean([inverse("provision_to_loans"), rank("credit_cost_ratio")]),
+        "credit_concentration_score": mean([rank(m) for m in ("risky_sector_ratio", "real_estate_loan_ratio", "unsecured_loan_ratio",
+                                                              "large_borrower_ratio", "largest_customer_group_ratio")]),
+        "credit_offbalance_score": mean([rank("accrued_interest_to_loans"), rank("offbalance_to_assets"), ramp("bad_offbalance_ratio / 5")]),
+        "credit_capital_score": mean([ramp("(11 - car_solo) / 3"), ramp("(8 - equity_to_assets) / 8")]),
+        "liq_deposit_score": mean([inverse("casa"), f"(case when deposits__qoq < 0 then {sqltext.clip('-deposits__qoq * 5', 0, 100)} end)"]),
+        "liq_wholesale_score": rank("wholesale_funding_share"), "liq_secondary_score": inverse("liquid_assets_to_deposits"),
+        "liq_market_score": mean([ramp("abs(rate_sensitive_gap_ratio) / 50"), ramp("abs(fx_position_ratio) / 20"), ramp("(10 - solvency_30d_fx) / 10")])}
+    df = df.selectExpr("*", *[f"{e} as {n}" for n, e in groups.items()])
+    credit_core = [ramp("npl_ratio / 5"), ramp("group2_ratio / 5"), ramp("(100 - llr_coverage) / 100"), ramp("credit_growth_yoy / 40"),
+                   *list(groups)[:4]]
+    liquid_core = [ramp("(ldr - 70) / 30"), ramp("st_funding_for_mlt_loans / 34"), ramp("(20 - liquidity_reserve_ratio) / 20"),
+                   ramp("(15 - avg_liquid_asset_ratio) / 15"), ramp("(50 - solvency_30d_vnd) / 50"), *list(groups)[5:8]]
+    supported = lambda core, support: f"(case when coalesce({', '.join(core)}) is not null then {support} end)"
+    fraud = mean(["(case when npl_ratio__roll_z < -0.5D and group2_ratio__roll_z > 0.5D then 80D end)",
+                  "(case when profit_before_tax__qoq > 20 and toi__qoq < 0 then 70D end)", ramp("(accrued_interest_days - 60) / 120"),
+                  hits("fraud_flag_clusters", 30)])
+    inputs_seen = "coalesce(npl_ratio__roll_z, group2_ratio__roll_z, profit_before_tax__qoq, toi__qoq, accrued_interest_days) is not null"
+    df = df.selectExpr("*", f"{mean([*credit_core, supported(credit_core, 'credit_capital_score'), hits('credit_flag_clusters', 25)])} as _cs",
+                       f"{mean([*liquid_core, supported(liquid_core, 'liq_market_score'), hits('liq_flag_clusters', 25)])} as _ls",
+                       f"case when {inputs_seen} or coalesce(has_findings, false) then coalesce({fraud}, 0D) end as fraud_risk_proxy_score")
+    # a rule alone makes a domain assessed: it only fires on a value
+    blend = lambda signal, pts: f"case when {signal} is not null then greatest({signal}, coalesce({pts}, 0D)) when {pts} > 0 then {pts} end"
+    df = df.selectExpr("*", f"{blend('_cs', 'credit_rule_pts')} as credit_risk_score", f"{blend('_ls', 'liquidity_rule_pts')} as liquidity_risk_score")
+    failure = mean([ramp("(10 - car_solo) / 10"), ramp("(8 - equity_to_assets) / 8"), ramp("(0.5D - roa) / 1.0D"),
+                    "(credit_risk_score * 0.5D)", "(liquidity_risk_score * 0.5D)"])
+    df = df.selectExpr("*", f"{failure} as failure_risk_proxy_score")
+    shown = ["credit_risk_score", "liquidity_risk_score", "fraud_risk_proxy_score", "failure_risk_proxy_score", *groups]
+    return df.select(*config.ID_COLS, *[half_up(n, 2).alias(n) for n in shown],
+                     *[F.expr(f"coalesce({n}, 0L) as {n}") for n in ("credit_flag_clusters", "liq_flag_clusters", "fraud_flag_clusters")],
+                     F.expr("coalesce(fraud_flags, '') as fraud_flags"), trend_score_expr().alias("trend_risk_score"))
 
 
 def data_quality_score(keys: DataFrame, validation: DataFrame | None, rule_scores: DataFrame | None = None,

@@ -45,18 +45,18 @@ def trend_features(long: DataFrame, window: int | None = None, yoy_periods: int
 def wide_trends(wide: DataFrame, roll_z=(), qoq=(), window: int | None = None) -> DataFrame:
     """Only the named ``m__roll_z`` and ``m__qoq`` columns, on the wide table: one window per bank
     for all of them, no unpivot and no join back."""
-    n = window or config.MODEL["rolling_window"]
-    g = Window.partitionBy("bank_id").orderBy("period_ts")
-    recent, upto = g.rowsBetween(-(n - 1), 0), g.rowsBetween(Window.unboundedPreceding, 0)
+    n = (window or config.MODEL["rolling_window"]) - 1
+    over = "over (partition by bank_id order by period_ts rows between {} and current row)"
+    recent, upto = over.format(f"{n} preceding"), over.format("unbounded preceding")
+    back = "over (partition by bank_id order by period_ts)"
     roll_z, qoq = [m for m in roll_z if m in wide.columns], [m for m in qoq if m in wide.columns]
-    step = wide.select("*", *[F.when(F.count(m).over(recent) >= 2, F.avg(m).over(recent)).alias(f"_mean_{m}") for m in roll_z],
-                       *[F.when(F.count(m).over(recent) >= 2, F.stddev_samp(m).over(recent)).alias(f"_std_{m}") for m in roll_z],
-                       *[F.last(m, ignorenulls=True).over(upto).alias(f"_f_{m}") for m in qoq])
-    step = step.select("*", *[F.lag(f"_f_{m}").over(g).alias(f"_p_{m}") for m in qoq])
-    return step.select(
-        *wide.columns,
-        *[F.when(F.col(f"_std_{m}") != 0, (F.col(m) - F.col(f"_mean_{m}")) / F.col(f"_std_{m}")).alias(f"{m}__roll_z") for m in roll_z],
-        *[_pct(F.col(f"_f_{m}"), F.col(f"_p_{m}")).alias(f"{m}__qoq") for m in qoq])
+    step = wide.selectExpr("*", *[f"case when count({m}) {recent} >= 2 then avg({m}) {recent} end as _mean_{m}" for m in roll_z],
+                           *[f"case when count({m}) {recent} >= 2 then stddev_samp({m}) {recent} end as _std_{m}" for m in roll_z],
+                           *[f"last({m}, true) {upto} as _f_{m}" for m in qoq])
+    step = step.selectExpr("*", *[f"lag(_f_{m}) {back} as _p_{m}" for m in qoq])
+    return step.selectExpr(
+        *wide.columns, *[f"({m} - _mean_{m}) / nullif(_std_{m}, 0D) as {m}__roll_z" for m in roll_z],
+        *[f"(_f_{m} / nullif(_p_{m}, 0D) - 1) * 100 as {m}__qoq" for m in qoq])
 
 
 def metric_series(long: DataFrame, bank_id: str, metric: str, window: int = 4) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prudens import config
+from prudens.functions import sqltext
 from prudens.functions.numeric import fixed2
 from prudens.functions.reshape import to_long
 from prudens.functions.tables import literal_table
@@ -123,8 +124,7 @@ def ratios_not_evaluated(gaps: DataFrame) -> DataFrame:
 
 
 def high_missing_periods(features: DataFrame, cols: list[str], threshold: float = 0.6) -> DataFrame:
-    missing = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in cols), F.lit(0)) / len(cols)
-    rows = features.select("bank_id", "period", missing.alias("share")).where(F.col("share") >= threshold)
+    rows = features.selectExpr("bank_id", "period", f"{sqltext.share_null(cols)} as share").where(F.col("share") >= threshold)
     return _finding(rows, "HIGH_MISSING_PERIOD", "MEDIUM",
                     F.concat(F.lit("missing "), F.floor(F.col("share") * 100 + 0.5).cast("string"), F.lit("% of metrics")), metric=False)
 

@@ -9,25 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 FX_LINE = """
 select concat('B', lpad(cast(l_suppkey as string), 6, '0')) as bank_id, cast(l_shipdate as date) as d,
-       cast(l_extendedprice as decimal(18,2)) as p, cast(l_quantity as decimal(18,2)) as q,
-       cast(l_discount as decimal(18,2)) as dc, cast(l_tax as decimal(18,2)) as tx,
+       cast(floor(l_extendedprice * 100 + 0.5E0) as bigint) as p, cast(floor(l_quantity + 0.5E0) as bigint) as q,
+       cast(floor(l_discount * 100 + 0.5E0) as bigint) as dc, cast(floor(l_tax * 100 + 0.5E0) as bigint) as tx,
        l_returnflag as rf, l_linestatus as ls, l_linenumber as ln
 from lineitem"""
 
 _SUMS = """
-  cast(sum(p) as double) as e_p, cast(sum(q) as double) as e_q, cast(sum(p * tx) as double) as e_tx,
-  cast(sum(p * dc) as double) as e_dc, count(*) as n_rows, cast(sum(p * (tx - 0.02)) as double) as e_pr, cast(sum(p * (tx - 0.01)) as double) as e_ni,
-  cast(sum(case when rf = 'R' then p * tx end) as double) as e_r, cast(sum(case when rf = 'A' then p end) as double) as e_a,
-  cast(sum(case when rf = 'N' then p * dc end) as double) as e_n, cast(sum(case when rf = 'N' then q end) as double) as q_n,
-  cast(sum(case when ls = 'F' then p * dc end) as double) as e_f, cast(sum(case when ls = 'F' then p end) as double) as p_f,
-  cast(sum(case when ls = 'O' then p end) as double) as p_o, cast(max(p) as double) as p_max,
-  cast(sum(case when ln = 1 then p end) as double) as p1, cast(sum(case when ln = 2 then p end) as double) as p2,
-  cast(sum(case when ln = 3 then p end) as double) as p3, cast(sum(case when ln = 4 then p end) as double) as p4,
-  cast(sum(case when ln <= 2 then p end) as double) as p12, cast(sum(case when ln <= 3 then p end) as double) as p13,
-  cast(sum(case when ln >= 2 then p end) as double) as p27, cast(sum(case when ln >= 3 then p end) as double) as p37,
-  cast(sum(case when ln >= 4 then p end) as double) as p47, cast(sum(case when ln >= 5 then p end) as double) as p57,
-  cast(sum(case when ln <= 3 then q end) as double) as q13, cast(sum(case when q >= 40 then p end) as double) as p_big,
-  cast(sum(case when ln >= 4 then p * tx end) as double) as tx47"""
+  cast(sum(p) as double) / 100.0E0 as e_p, cast(sum(q) as double) as e_q, cast(sum(p * tx) as double) / 10000.0E0 as e_tx,
+  cast(sum(p * dc) as double) / 10000.0E0 as e_dc, count(*) as n_rows, cast(sum(p * (tx - 2)) as double) / 10000.0E0 as e_pr, cast(sum(p * (tx - 1)) as double) / 10000.0E0 as e_ni,
+  cast(sum(case when rf = 'R' then p * tx end) as double) / 10000.0E0 as e_r, cast(sum(case when rf = 'A' then p end) as double) / 100.0E0 as e_a,
+  cast(sum(case when rf = 'N' then p * dc end) as double) / 10000.0E0 as e_n, cast(sum(case when rf = 'N' then q end) as double) as q_n,
+  cast(sum(case when ls = 'F' then p * dc end) as double) / 10000.0E0 as e_f, cast(sum(case when ls = 'F' then p end) as double) / 100.0E0 as p_f,
+  cast(sum(case when ls = 'O' then p end) as double) / 100.0E0 as p_o, cast(max(p) as double) / 100.0E0 as p_max,
+  cast(sum(case when ln = 1 then p end) as double) / 100.0E0 as p1, cast(sum(case when ln = 2 then p end) as double) / 100.0E0 as p2,
+  cast(sum(case when ln = 3 then p end) as double) / 100.0E0 as p3, cast(sum(case when ln = 4 then p end) as double) / 100.0E0 as p4,
+  cast(sum(case when ln <= 2 then p end) as double) / 100.0E0 as p12, cast(sum(case when ln <= 3 then p end) as double) / 100.0E0 as p13,
+  cast(sum(case when ln >= 2 then p end) as double) / 100.0E0 as p27, cast(sum(case when ln >= 3 then p end) as double) / 100.0E0 as p37,
+  cast(sum(case when ln >= 4 then p end) as double) / 100.0E0 as p47, cast(sum(case when ln >= 5 then p end) as double) / 100.0E0 as p57,
+  cast(sum(case when ln <= 3 then q end) as double) as q13, cast(sum(case when q >= 40 then p end) as double) / 100.0E0 as p_big,
+  cast(sum(case when ln >= 4 then p * tx end) as double) / 10000.0E0 as tx47"""
 
 _WIDE_BODY = """
   e_p as customer_loans, e_q * 2900 as deposits, e_dc * 0.5 as npl_amount, e_f * 0.4 as provisions,
@@ -63,13 +63,13 @@ from (select bank_id, concat(cast(year(d) as string), '-', lpad(cast(month(d) as
 WIDE_Q = """
 select bank_id, bank_id as bank_name, concat(cast(year(d) as string), 'Q', cast(quarter(d) as string)) as period,
   last_day(make_date(year(d), quarter(d) * 3, 1)) as period_ts,
-  cast(sum(p * dc) as double) * 0.5 as npl_amount_q, cast(sum(case when ls = 'F' then p * dc end) as double) * 0.4 as provisions,
-  cast(sum(p * tx) as double) * 2 + 8000 as equity
+  cast(sum(p * dc) as double) / 10000.0E0 * 0.5 as npl_amount_q, cast(sum(case when ls = 'F' then p * dc end) as double) / 10000.0E0 * 0.4 as provisions,
+  cast(sum(p * tx) as double) / 10000.0E0 * 2 + 8000 as equity
 from fx_line group by bank_id, concat(cast(year(d) as string), 'Q', cast(quarter(d) as string)), last_day(make_date(year(d), quarter(d) * 3, 1))"""
 
 WIDE_Y = """
 select bank_id, bank_id as bank_name, cast(year(d) as string) as period, make_date(year(d), 12, 31) as period_ts,
-  cast(sum(p * (tx - 0.02)) as double) * 0.1 as profit_y, cast(sum(p * dc) as double) * 0.12 as operating_expense
+  cast(sum(p * (tx - 2)) as double) / 10000.0E0 * 0.1 as profit_y, cast(sum(p * dc) as double) / 10000.0E0 * 0.12 as operating_expense
 from fx_line group by bank_id, cast(year(d) as string), make_date(year(d), 12, 31)"""
 
 FX_INST = """
@@ -149,6 +149,15 @@ class Fixtures:
         from prudens.operators.ratios import derive_ratios
         return derive_ratios(self.view("wide_m"))
 
+    @cached_property
+    def staged(self) -> "Fixtures":
+        """The same fixtures with the feature table written once, for queries that read it many times."""
+        from prudens.plans.staging import stage
+        out = Fixtures(self.spark, self.sf_dir)
+        out.__dict__["features"] = stage(self.features, "features")
+        out._made["fx_panel"] = stage(self.view("fx_panel"), "panel")
+        return out
+
     @cached_property
     def inst(self) -> DataFrame:
         return self.view("fx_inst")

@@ -412,9 +412,9 @@ def validation_frame(fx):
 
 @query("validation_all", "V11", "select category, severity, bank_id, period, metric from validation")
 def _val_all(fx):
-    return validation_frame(fx).drop("message")
+    return validation_frame(fx.staged).drop("message")
 
 
 @query("validation_category_counts", "V11", "select category, count(*) as n from validation group by category")
 def _val_counts(fx):
-    return validation.category_counts(validation_frame(fx))
+    return validation.category_counts(validation_frame(fx.staged))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from prudens import config
 from prudens.functions.numeric import half_up
 from prudens.operators import crosssection, ews, highrisk, scoring, stress
+from prudens.plans.staging import stage
 from suite.oracle import clip, fragment, null_mean, r, unpivot, values
 from suite.q_features import stress_frame
 from suite.q_findings import findings_frame, validation_frame
@@ -294,7 +295,7 @@ from validation left join flag_map using (category) where bank_id is not null an
 
 @query("red_flag_clusters", "Q04", "select * from flag_cluster")
 def _clusters(fx):
-    return scoring.flag_clusters(validation_frame(fx)).drop("has_findings")
+    return scoring.flag_clusters(validation_frame(fx.staged)).drop("has_findings")
 
 
 fragment("rank_wide", "select bank_id, period, " + ", ".join(f"max(pct_rank) filter (metric = '{m}') as r_{m}" for m in scoring.RANKED) + " from ranked group by bank_id, period")
@@ -328,6 +329,7 @@ fragment("dom", f"select bank_id, bank_name, period, period_ts, {r('credit', 2)}
 
 
 def domains_frame(fx):
+    fx = fx.staged
     rs = scoring.rule_violation_score(findings_frame(fx))
     return scoring.domain_scores(scoring.score_inputs(fx.features), rs, scoring.flag_clusters(validation_frame(fx)))
 
@@ -354,7 +356,7 @@ left join (select bank_id, cast(max({_PTS}) as double) * 0.6::double as wide fro
 
 @query("data_quality_score", "Q11", "select * from dq")
 def _dq(fx):
-    return scoring.data_quality_score(fx.features, validation_frame(fx))
+    return scoring.data_quality_score(fx.features, validation_frame(fx.staged))
 
 
 fragment("std_cluster", "select bank_id, peer as cluster_id, 'peer ' || cast(peer as varchar) as cluster_risk_label, 20.0::double * (peer + 1) as cluster_risk_score from fx_inst")
@@ -382,7 +384,8 @@ def clusters_frame(fx):
 
 
 def scores_frame(fx, ranked=False):
-    findings, val = findings_frame(fx), validation_frame(fx)
+    fx = fx.staged
+    findings, val = findings_frame(fx), stage(validation_frame(fx), "validation")
     rs = scoring.rule_violation_score(findings)
     dom = scoring.domain_scores(scoring.score_inputs(fx.features), rs, scoring.flag_clusters(val))
     out = scoring.composite(dom, rs, scoring.data_quality_score(fx.features, val), labels_frame(fx), clusters_frame(fx), stress_frame(fx))
