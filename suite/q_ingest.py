@@ -229,7 +229,7 @@ _TPL = "select concat(case when l_linenumber = 7 then 'X-' else 'R-' end, cast(1
 
 @query("source_template_rows", "I19", f"""
 select ma_dong_nguon, stt, chi_tieu, cap_do, cap_do = 1 or (cap_do = 2 and ma_dong_nguon not in ('R-191', 'R-192')) as is_header, so_lieu
-from (select ma_dong_nguon, trim(stt) as stt, trim(chi_tieu) as chi_tieu, so_lieu, cast(len(list_filter(string_split(stt, '.'), x -> x <> '')) as int) as cap_do from ({_TPL.format(t='lineitem')}) where ma_dong_nguon like 'R-%')""")
+from (select ma_dong_nguon, trim(stt) as stt, trim(chi_tieu) as chi_tieu, so_lieu, cast(len(list_filter(string_split(stt, '.'), lambda x: x <> '')) as int) as cap_do from ({_TPL.format(t='lineitem')}) where ma_dong_nguon like 'R-%')""")
 def _template(fx):
     return panel.template_rows(fx.spark.sql(_TPL.format(t="{t}"), t=fx.table("lineitem")))
 

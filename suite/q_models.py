@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from prudens import config
 from prudens.functions.numeric import half_up
 from prudens.operators import anomaly, cluster, feedback, matrix, textlimits, tuning
-from prudens.operators.trends import trend_features
+from prudens.plans.staging import stage
 from prudens.sources.settings import deep_merge, effective_model
 from suite.oracle import fragment, r, unpivot, values
 from suite.q_findings import ALL_METRICS, findings_frame, validation_frame
@@ -24,7 +24,7 @@ fragment("mx_scaled", "select i.bank_id, i.period, metric, (x - mu) / coalesce(n
 
 
 def _params(fx):
-    return matrix.fit_matrix(fx.features, COLS, config.MODEL["winsorize"])
+    return matrix.fit_matrix(fx.staged.features, COLS, config.MODEL["winsorize"])
 
 
 @query("model_matrix_columns", "N01", "select metric, " + r("avg(case when value is not null then 1.0::double else 0.0::double end)") + " as non_null_share from mx_long group by metric having avg(case when value is not null then 1.0::double else 0.0::double end) >= 0.3")
@@ -37,7 +37,7 @@ def _cols(fx):
 def _long(fx, expr):
     from prudens.functions.reshape import to_long
     params = _params(fx)
-    wide = fx.features.selectExpr("bank_id", "period", *[f"{expr(p)} as {p.name}" for p in params])
+    wide = fx.staged.features.selectExpr("bank_id", "period", *[f"{expr(p)} as {p.name}" for p in params])
     return to_long(wide, ["bank_id", "period"], [p.name for p in params])
 
 
@@ -57,15 +57,15 @@ select bank_id, period, string_agg(metric || '(' || case when z < 0 then '-' els
 from (select *, row_number() over (partition by bank_id, period order by abs(z) desc, list_position([{', '.join(repr(c) for c in COLS)}], metric)) as k from mx_scaled) where k <= 6 group by bank_id, period""")
 def _top(fx):
     params = _params(fx)
-    m = matrix.scaled_matrix(fx.features, params)
+    m = matrix.scaled_matrix(fx.staged.features, params)
     return anomaly.top_features(m, [p.name for p in params], 6).select("bank_id", "period", "top_features")
 
 
 @query("isolation_forest_nodes", "N05")
 def _forest(fx):
     params = _params(fx)
-    m = matrix.scaled_matrix(fx.features, params)
-    nodes, _ = anomaly.fit_forest(m, [p.name for p in params], fx.features.count(), 20, "auto", 42)
+    m = matrix.scaled_matrix(fx.staged.features, params)
+    nodes, _ = anomaly.fit_forest(m, [p.name for p in params], fx.staged.features.count(), 20, "auto", 42)
     return fx.spark.createDataFrame(nodes.groupby("tree").size().reset_index(name="n_nodes"))
 
 
@@ -94,7 +94,7 @@ fragment("km_z", "select bank_id, metric, (x - mu) / coalesce(nullif(sd, 0), 1)
 
 
 def _km_matrix(fx):
-    snap = cluster.latest_snapshot(fx.features)
+    snap = stage(cluster.latest_snapshot(fx.features.select(*config.ID_COLS, *COLS)), "snapshot")
     params = matrix.fit_matrix(snap, COLS, None)
     return matrix.scaled_matrix(snap, params), [p.name for p in params]
 
@@ -108,7 +108,7 @@ def _kmx(fx):
 
 def _clustered(fx, k=3):
     m, cols = _km_matrix(fx)
-    v = cluster._vectors(m, cols)
+    v = cluster._vectors(m, cols).cache()
     return cluster.best_kmeans(v, k, 42, 3).transform(v), cols
 
 
@@ -128,12 +128,16 @@ fragment("km_cent", "select cluster_id, metric, avg(z) as c, count(*) as n from
 fragment("km_dist", "select bank_id, cluster_id, sum((z - c) * (z - c)) as sq from km_lab join km_cent using (cluster_id, metric) group by bank_id, cluster_id")
 
 
+fragment("km_spread", "select cluster_id, avg(sqrt(sq)) as s from km_dist group by cluster_id")
+fragment("km_gap", "select a.cluster_id as i, b.cluster_id as j, sqrt(sum((a.c - b.c) * (a.c - b.c))) as d from km_cent a join km_cent b on a.metric = b.metric and a.cluster_id <> b.cluster_id group by 1, 2")
+
+
 def _labelled(fx):
     m, cols = _km_matrix(fx)
     return m.join(clusters_frame(fx).select("bank_id", "cluster_id"), "bank_id"), cols
 
 
-@query("cluster_davies_bouldin", "K05", "with s as (select cluster_id, avg(sqrt(sq)) as s from km_dist group by cluster_id), d as (select a.cluster_id as i, b.cluster_id as j, sqrt(sum((a.c - b.c) * (a.c - b.c))) as d from km_cent a join km_cent b on a.metric = b.metric and a.cluster_id <> b.cluster_id group by 1, 2) select " + r("avg(m)") + " as davies_bouldin from (select i, max((x.s + y.s) / d) as m from d join s x on x.cluster_id = i join s y on y.cluster_id = j group by i)")
+@query("cluster_davies_bouldin", "K05", "select " + r("avg(m)") + " as davies_bouldin from (select i, max((x.s + y.s) / d) as m from km_gap join km_spread x on x.cluster_id = i join km_spread y on y.cluster_id = j group by i)")
 def _db(fx):
     return cluster.davies_bouldin(*_labelled(fx)).withColumn("davies_bouldin", half_up("davies_bouldin", 4))
 
@@ -145,7 +149,6 @@ def _ch(fx):
 
 @query("kmeans_k_selection", "K07")
 def _selk(fx):
-    m, cols = _km_matrix(fx)
     board, _ = tuning.tune_kmeans(fx.features, COLS, {"k_max": 4, "n_init": [1]})
     return board
 
