@@ -12,7 +12,9 @@ def to_long(wide: DataFrame, ids: list[str], metrics: list[str], metric: str = "
     if cluster_by:
         wide = wide.repartition(*cluster_by)
     cells = ", ".join(f"struct('{m}' as {metric}, cast(`{m}` as double) as {value})" for m in metrics)
-    out = wide.selectExpr(*ids, f"explode(array({cells})) as _c").select(*ids, f"_c.{metric}", f"_c.{value}")
+    # without any metric the result is empty but keeps its columns
+    array = f"array({cells})" if metrics else f"cast(array() as array<struct<{metric}: string, {value}: double>>)"
+    out = wide.selectExpr(*ids, f"explode({array}) as _c").select(*ids, f"_c.{metric}", f"_c.{value}")
     return out if keep_null else out.where(F.col(value).isNotNull())
 
 

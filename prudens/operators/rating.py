@@ -247,26 +247,34 @@ def band_text(v: Column, score: Column) -> Column:
 def applicable_criteria(inputs: DataFrame, criteria: list[Criterion]) -> DataFrame:
     """One row per input and criterion that applies: value, where it came from, missing variables,
     and how many variants of the same root apply."""
+    numbered = list(enumerate(criteria))
+    quant = [(i, c) for i, c in numbered if c.formula]
+    names = {i: sorted({*_variables(c.formula), *[n for n, _ in c.variables]}) for i, c in quant}
+    # one projection per step: each value is computed once and referenced by name afterwards
+    df = inputs.select(*KEY, "type_code", "data", *[applies(c.condition).alias(f"_a{i}") for i, c in numbered],
+                       *[resolve_metric(c.code).alias(f"_fb{i}") for i, c in quant])
+    df = df.select(*[c for c in df.columns if c != "data"], *[F.coalesce(F.try_element_at("data", F.lit(n)), F.col(f"_fb{i}")).alias(f"_v{i}_{j}")
+                                                              for i, _ in quant for j, n in enumerate(names[i])])
+    df = df.select("*", *[compile_formula(c.formula, lambda n, i=i: F.col(f"_v{i}_{names[i].index(n)}")).alias(f"_d{i}") for i, c in quant])
+    df = df.selectExpr("*", *[f"coalesce(_d{i}, _fb{i}) as _x{i}" for i, _ in quant])
+    df = df.select("*", *[half_up(f"_x{i}", 4).alias(f"_r{i}") for i, _ in quant])
     cells = []
-    for c in criteria:
+    for i, c in numbered:
+        value, source, missing = "cast(null as double)", "'qualitative'", "cast(array() as array<string>)"
         if c.formula:
-            resolve = lambda name, code=c.code: F.coalesce(F.try_element_at("data", F.lit(name)), resolve_metric(code))
-            direct = compile_formula(c.formula, resolve)
-            fallback = resolve_metric(c.code)
-            value = F.coalesce(direct, fallback)
-            source = F.when(direct.isNotNull(), "formula").when(fallback.isNotNull(), "fallback").otherwise("none")
-            missing = [F.when(resolve(n).isNull(), n) for n, required in c.variables if required]
-            missing = F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>")
-        else:
-            value, source, missing = F.lit(None).cast("double"), F.lit("qualitative"), F.array().cast("array<string>")
-        cells.append(F.when(applies(c.condition), F.struct(
-            F.lit(c.code).alias("code"), F.lit(c.root).alias("root"), F.lit(c.group).alias("group"), F.lit(c.formula is None).alias("qualitative"),
-            half_up(value, 4).alias("value"), source.alias("value_source"), missing.alias("missing"))))
-    found = F.array_compact(F.array(*cells))
-    rows = inputs.select(*KEY, "type_code", found.alias("_all")).select(*KEY, "type_code", "_all", F.explode("_all").alias("_c"))
-    # variants of one root sit in the same bounded array, so no window is needed
-    n = F.size(F.filter("_all", lambda x: x["root"] == F.col("_c.root")))
-    return rows.select(*KEY, "type_code", "_c.*", n.alias("n_variants"))
+            value, source = f"_r{i}", f"case when _d{i} is not null then 'formula' when _fb{i} is not null then 'fallback' else 'none' end"
+            required = [f"if(_v{i}_{names[i].index(n)} is null, '{n}', null)" for n, needed in c.variables if needed]
+            missing = f"array_compact(array({', '.join(required)}))" if required else missing
+        variants = " + ".join(f"int(_a{j})" for j, other in numbered if other.root == c.root)
+        cells.append(f"if(_a{i}, struct('{c.code}' as code, '{c.root}' as root, '{c.group}' as `group`, {str(c.formula is None).lower()} as qualitative, "
+                     f"{value} as value, {source} as value_source, {missing} as missing, {variants} as n_variants), null)")
+    return df.selectExpr(*KEY, "type_code", f"explode(array_compact(array({', '.join(cells)}))) as _c").select(*KEY, "type_code", "_c.*")
+
+
+def _variables(node: dict) -> set[str]:
+    if "ma_bien" in node:
+        return {node["ma_bien"]}
+    return set().union(*[_variables(p) for p in node.get("tham_so", [])], set())
 
 
 def with_configuration(rows: DataFrame, criteria: list[Criterion]) -> DataFrame:

@@ -105,7 +105,7 @@ def _trees(fx):
     return inputs_frame(fx).select("object_id", "period", *[half_up(rating.compile_formula(t, get), 4).alias(n) for n, (t, _) in _TREES.items()])
 
 
-@query("rating_metric_fallback", "G05", f"select bank_id as object_id, period, {r('car_solo')} as v11, {r('floor(npl_amount / customer_loans * 100 * 10000 + 0.5) / 10000')} as v21, cast(null as double) as v31, {r('floor(customer_loans / deposits * 100 * 10000 + 0.5) / 10000')} as v53 from wide_m")
+@query("rating_metric_fallback", "G05", f"select bank_id as object_id, period, {r('car_solo')} as v11, {r('floor(nullif(npl_amount, 0) / customer_loans * 100 * 10000 + 0.5) / 10000')} as v21, cast(null as double) as v31, {r('floor(customer_loans / deposits * 100 * 10000 + 0.5) / 10000')} as v53 from wide_m")
 def _fallback(fx):
     i = inputs_frame(fx).withColumn("data", F.expr("map_concat(data, map('TONG_TIEN_GUI', data['TIEN_GUI'], 'DU_NO_CHO_VAY', data['TONG_NO']))"))
     return i.select("object_id", "period", *[half_up(rating.resolve_metric(c), 4).alias("v" + c.replace(".", "")) for c in ("1.1", "2.1", "3.1", "5.3")])
@@ -117,10 +117,10 @@ fragment("rband", values(_BANDS, "code, config_type, pos, score, low, low_in, hi
 fragment("rcfg", values([(c.code, t, i, float(w)) for c in CRITERIA for i, (t, (w, _)) in enumerate(c.by_type.items())], "code, config_type, type_pos, weight"))
 fragment("rapp", """
 select object_id, period, type_code, '1.1.a' as code, '1.1' as root, 'C' as grp, false as qual, equity / nullif(rwa, 0) * 100 as v, '' as miss from ri where tt41
-union all select object_id, period, type_code, '1.1.b', '1.1', 'C', false, greatest(car_bc, 0), case when car_bc is null then 'CAR_BC' else '' end from ri where not tt41
+union all select object_id, period, type_code, '1.1.b', '1.1', 'C', false, case when car_bc is not null then greatest(car_bc, 0) end, case when car_bc is null then 'CAR_BC' else '' end from ri where not tt41
 union all select object_id, period, type_code, '1.2', '1.2', 'C', false, (car_bc + (car_bc - 1)) / 2, case when car_bc is null then 'CAR_BC' else '' end from ri
 union all select object_id, period, type_code, 'C_DT', 'C_DT', 'C', true, null, '' from ri
-union all select object_id, period, type_code, '2.1', '2.1', 'A', false, npl21 / nullif(customer_loans, 0) * 100, '' from (select *, floor(npl_amount / customer_loans * 100 * 10000 + 0.5) / 10000 as npl21 from ri)
+union all select object_id, period, type_code, '2.1', '2.1', 'A', false, npl21 / nullif(customer_loans, 0) * 100, '' from (select *, floor(nullif(npl_amount, 0) / customer_loans * 100 * 10000 + 0.5) / 10000 as npl21 from ri)
 union all select object_id, period, type_code, '2.2', '2.2', 'A', false, abs(group2_ratio), case when group2_ratio is null then 'NHOM2' else '' end from ri where quy_mo > 3
 union all select object_id, period, type_code, '2.2.x', '2.2', 'A', false, group2_ratio, case when group2_ratio is null then 'NHOM2' else '' end from ri where quy_mo in (2, 6)
 union all select object_id, period, type_code, 'A_DT', 'A_DT', 'A', true, null, '' from ri
