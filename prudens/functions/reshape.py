@@ -27,5 +27,5 @@ def to_wide(long: DataFrame, ids: list[str], metrics: list[str], metric: str = "
 
 def ensure_columns(df: DataFrame, cols, dtype: str = "double") -> DataFrame:
     """Add absent metric columns as typed nulls."""
-    missing = [c for c in cols if c not in df.columns]
+    missing = [c for c in dict.fromkeys(cols) if c not in df.columns]
     return df.selectExpr("*", *[f"cast(null as {dtype}) as {c}" for c in missing]) if missing else df

@@ -13,6 +13,7 @@ from prudens.operators.cluster import latest_snapshot
 from prudens.operators.crosssection import pct_ranks
 from prudens.operators.rules import worst_severity
 from prudens.operators.trends import wide_trends
+from prudens.plans.staging import stage
 
 KEY = ["bank_id", "period"]
 RANKED = ["mlt_loan_ratio", "provision_to_loans", "credit_cost_ratio", "risky_sector_ratio", "real_estate_loan_ratio",
@@ -209,4 +210,5 @@ def risk_scores(features: DataFrame, findings: DataFrame, validation: DataFrame
         features.select("bank_id", "period", F.lit(None).cast("string").alias("category")).where(F.lit(False)))
     domains = domain_scores(score_inputs(features), rs, flags)
     quality = data_quality_score(features, validation, rs, model)
-    return with_rank(composite(domains, rs, quality, anomalies, clusters, stress, model))
+    # ranking reads the scores several times
+    return with_rank(stage(composite(domains, rs, quality, anomalies, clusters, stress, model), "composite"))

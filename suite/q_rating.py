@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from prudens.functions.numeric import half_up
 from prudens.operators import rating
+from prudens.plans.staging import stage
 from prudens.operators.rating import Criterion, higher_is_better, lower_is_better
 from suite.oracle import fragment, r, values
 from suite.registry import query
@@ -372,7 +373,7 @@ def _batch(fx):
 
 @query("rating_ranking", "G25", "select object_id, period, total_score, rank() over (partition by period order by total_score desc) as rank, rank() over (partition by period order by total_score desc) || '/' || count(*) over (partition by period) as rank_text from rtotal")
 def _ranking(fx):
-    return rating.rank_objects(rating.totals(groups_frame(fx)), "total_score").drop("grade")
+    return rating.rank_objects(stage(rating.totals(groups_frame(fx)), "totals"), "total_score").drop("grade")
 
 
 @query("rating_grade_counts", "G25", "select period, grade, count(*) as n from rtotal group by period, grade")

@@ -389,7 +389,7 @@ def scores_frame(fx, ranked=False):
     rs = scoring.rule_violation_score(findings)
     dom = scoring.domain_scores(scoring.score_inputs(fx.features), rs, scoring.flag_clusters(val))
     out = scoring.composite(dom, rs, scoring.data_quality_score(fx.features, val), labels_frame(fx), clusters_frame(fx), stress_frame(fx))
-    return scoring.with_rank(out) if ranked else out
+    return scoring.with_rank(stage(out, "scores")) if ranked else out
 
 
 @query("composite_score", "Q12", f"select bank_id, period, {r('weighted_score')} as weighted_score, rule_based_floor, final_risk_score, {r('systemic_period_risk_score')} as systemic_period_risk_score, data_quality_risk_score, trend_risk_score from scored")
@@ -405,8 +405,9 @@ def _rl(fx):
 
 @query("risk_rank", "Q14", "select bank_id, period, final_risk_score, rank() over (order by final_risk_score desc) as risk_rank, rank() over (partition by period order by final_risk_score desc) as period_rank from scored")
 def _rr(fx):
-    out = scores_frame(fx, ranked=True).select("bank_id", "period", "final_risk_score", "risk_rank")
-    within = scoring.with_rank(out.drop("risk_rank"), ["period"]).select("bank_id", "period", F.col("risk_rank").alias("period_rank"))
+    scores = stage(scores_frame(fx).select("bank_id", "period", "final_risk_score"), "ranked")
+    out = scoring.with_rank(scores)
+    within = scoring.with_rank(scores, ["period"]).select("bank_id", "period", F.col("risk_rank").alias("period_rank"))
     return out.join(within, ["bank_id", "period"])
 
 
