@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudens.llm import bpe_tree, dac, warc
+from prudens.llm import bpe_tree, dac, near_dup, substring_dedup, suffix_dedup, warc
 from prudens.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,21 @@ def op2_bpe_tree(spark, sf_dir):
     return bpe_tree.digest(bpe_tree.encode(_table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
+@query
+def op7_near_dup(spark, sf_dir):
+    return near_dup.link(_table(spark, sf_dir, "documents"), percent=85).drop("rid")
+
+
+@query
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
 @query
 def op9_warc(spark, sf_dir):
     scratch = Scratch(spark, "op9")
