@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudens.llm import bpe_tree, dac, near_dup, substring_dedup, suffix_dedup, warc
+from prudens.llm import bpe_tree, dac, decontaminate, near_dup, quality, substring_dedup, suffix_dedup, warc, weighted
 from prudens.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,17 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
 
+@query
+def op5_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels"), "quality"))
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_near_dup(spark, sf_dir):
     return near_dup.link(_table(spark, sf_dir, "documents"), percent=85).drop("rid")
@@ -57,3 +68,8 @@ def op9_warc(spark, sf_dir):
     scratch = Scratch(spark, "op9")
     path = warc.write_archives(_table(spark, sf_dir, "pages"), scratch, min_revisit_bytes=0)
     return warc.digest(warc.read_archives(spark, path, payloads=False))
+
+
+@query
+def op10_fingerprints(spark, sf_dir):
+    return weighted.compare_with_next(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
