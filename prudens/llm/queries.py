@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudens.llm import bpe_tree, dac, decontaminate, near_dup, quality, substring_dedup, suffix_dedup, warc, weighted
+from prudens.llm import bpe_tree, context_tree, dac, decontaminate, near_dup, quality, substring_dedup, suffix_dedup, warc, weighted
 from prudens.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op2_bpe_tree(spark, sf_dir):
     return bpe_tree.digest(bpe_tree.encode(_table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
 
 
+@query
+def op3_context_tree(spark, sf_dir):
+    return context_tree.score(_table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
 @query
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
