@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from prudens.llm.common import Scratch
-from prudens.llm.stages import bpe
+from prudens.llm.stages import benchmark, bpe, near_dedup, quality, suffix_array
 
-STAGES = [
-    ("bpe_encoding", bpe)]
+STAGES = [("quality_classifier", quality), ("minhash_near_dedup", near_dedup), ("suffix_array_dedup", suffix_array),
+          ("benchmark_decontamination", benchmark), ("bpe_encoding", bpe)]
 #: SQL can express neither a trained classifier nor BPE merges; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 

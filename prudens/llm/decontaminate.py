@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prudens.llm.common import LOWER, U64, batch, gram_hashes, mix, word_hashes, word_spans
+from prudens.llm.common import LOWER, U64, batch, gram_hashes, mix, row_id, word_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 80
 BROADCAST_BYTES, BROADCAST_ITEMS = 32_000_000, 50_000
@@ -105,15 +105,19 @@ def _rows(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
-def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_common, containment: every item contained in a document."""
-    spark = docs.sparkSession
+def _index(items: DataFrame, percent: int, broadcast_bytes: int):
+    """The broadcast index, or None where the items are beyond the bounds."""
     wanted = _rows(items, "item_id")
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    texts = _rows(docs, "doc_id")
-    if size.bytes <= broadcast_bytes and size.n <= BROADCAST_ITEMS:
-        index = spark.sparkContext.broadcast(Index([(r.id, bytes(r.text)) for r in wanted.collect()], percent))
+    if size.bytes > broadcast_bytes or size.n > BROADCAST_ITEMS:
+        return None
+    return items.sparkSession.sparkContext.broadcast(Index([(r.id, bytes(r.text)) for r in wanted.collect()], percent))
 
+
+def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_common, containment: every item contained in a document."""
+    wanted, texts = _rows(items, "item_id"), _rows(docs, "doc_id")
+    if (index := _index(items, percent, broadcast_bytes)) is not None:
         def find(batches):
             for b in batches:
                 rows = [(d, *hit) for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in index.value.search(raw)]
@@ -127,6 +131,20 @@ def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_
     return found.withColumn("containment", F.col("n_common") / F.col("n_shingles"))
 
 
+def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The input's rows and columns without documents that contain an item."""
+    if (index := _index(items, percent, broadcast_bytes)) is None:
+        hit = search(docs.select(row_id().alias("doc_id"), "text"), items, percent, broadcast_bytes).select(F.col("doc_id").alias("_rid")).distinct()
+        return docs.withColumn("_rid", row_id()).join(hit, "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([not index.value.search((t or "").encode()) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _joined(texts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     """The same search with sketches of both sides joined by hash."""
     def sketches(batches):

@@ -13,7 +13,7 @@ nodes of other components, until a round brings no new link.
 Defined cases: a text of fewer words than a shingle is one shingle; null or empty texts, and texts without
 words, have an empty set and link with nothing; component_id is null only where all doc_ids of a component
 are; null doc_ids are never the smallest; repeated rows link as equal sets, and all rows that hold the
-smallest doc_id are kept; an empty table gives an empty result; further columns are ignored.
+smallest doc_id are kept (``chosen`` marks one row hash of each component, which ``dedup`` keeps once); an empty table gives an empty result; further columns are ignored.
 """
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prudens.llm.common import U64, Scratch, batch, keyed, mix, shingle_set
+from prudens.llm.common import U64, Scratch, batch, keyed, mix, row_id, shingle_set
 
 BINS, BANDS, BAND_ROWS = 128, 30, 4
 SHINGLE = 5
@@ -114,7 +114,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and the row's rid (as ``common.row_id`` gives it)."""
+    """doc_id, n_shingles, component_id, kept; and the row's rid (``common.row_id``) with ``chosen``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
     texts = keyed(docs, id_col, text_col)
@@ -154,7 +154,15 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
         labels = components(links, scratch, f"labels-{step}")
     scratch.drop("sets", "busy")
     placed = signed.where("n > 0").select("rid", "id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = placed.groupBy("label").agg(F.min("id").alias("component_id"))
-    full = placed.join(smallest, "label").select("rid", "id", "n", "component_id")
-    empty = signed.where("n = 0").select("rid", "id", "n", F.col("id").alias("component_id"))
-    return full.union(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "rid")
+    smallest = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rid")).alias("least"))
+    full = placed.join(smallest, "label").select("rid", "id", "n", F.col("least.id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("chosen"))
+    empty = signed.where("n = 0").select("rid", "id", "n", F.col("id").alias("component_id"), F.lit(True).alias("chosen"))
+    return full.union(empty).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "rid", "chosen")
+
+
+def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The input's rows and columns, one row of each component; texts without words all stay."""
+    chosen = link(docs, percent).where("chosen").select(F.col("rid").alias("_rid"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    found = docs.withColumn("_rid", row_id()).join(chosen, "_rid")
+    one = found.where("not _empty").dropDuplicates(["_rid"])
+    return one.unionByName(found.where("_empty")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -141,3 +141,16 @@ def score(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
+    """The input's rows and columns without those that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        rate = scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([rate((t or "").encode()) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

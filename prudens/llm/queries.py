@@ -60,7 +60,7 @@ def op6_decontaminate(spark, sf_dir):
 
 @query
 def op7_near_dup(spark, sf_dir):
-    return near_dup.link(_table(spark, sf_dir, "documents"), percent=85).drop("rid")
+    return near_dup.link(_table(spark, sf_dir, "documents"), percent=85).drop("rid", "chosen")
 
 
 @query
