@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prudens.llm import bpe_tree, context_tree, dac, decontaminate, near_dup, quality, substring_dedup, suffix_dedup, warc, weighted
 from prudens.llm.common import Scratch
+from prudens.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
