@@ -1,6 +1,8 @@
 """Candidate regulatory limits mined from text pages ``(doc_id, page, text)``."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prudens import config
@@ -9,10 +11,18 @@ from prudens.functions.text import normalize_label
 # Sentence ends, percentage pattern, confidence steps.
 SENTENCE_END = r"(?<=[.\n;])\s+"
 PERCENT = r"(\d{1,3}(?:[.,]\d{1,2})?)\s*%"
-SHOWN_CHARS = 400
 MIN_CHARS = 50
 
 
+#: Any keyword; a sentence without one needs no further look.
+_ANY_KEYWORD = "|".join(re.escape(k[0]) for k in config.LIMIT_KEYWORDS)
+
+
+def _strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def _first_keyword(norm: Column, field: int) -> Column:
     out = None
     for row in config.LIMIT_KEYWORDS:
@@ -24,13 +34,11 @@ def _first_keyword(norm: Column, field: int) -> Column:
 def candidate_limits(pages: DataFrame) -> DataFrame:
     """One row per sentence with a keyword (the first in order wins): metric, threshold, confidence.
 
-    Whole texts are split into sentences on the executors; the matching is one expression per
-    sentence, without a join.
+    Whole texts are split into sentences on the executors. Each sentence is normalised once, in the
+    array of its page, and only those with a keyword become rows.
     """
-    chunks = pages.select("doc_id", "page", F.posexplode(F.split("text", SENTENCE_END)).alias("pos", "chunk"))
-    norm = normalize_label(F.col("chunk"))
-    df = chunks.select("doc_id", "page", "pos", "chunk", norm.alias("_n"))
-    df = df.select("*", _first_keyword(F.col("_n"), 0).alias("keyword")).where("keyword is not null")
+    sentences = F.transform(F.split("text", SENTENCE_END), lambda c, i: F.struct(i.alias("pos"), c.alias("chunk"), normalize_label(c).alias("_n")))
+    df = pages.select("doc_id", "page", F.inline(F.filter(sentences, lambda s: s["_n"].rlike(_ANY_KEYWORD))))
     threshold = F.replace(F.regexp_extract("chunk", PERCENT, 1), F.lit(","), F.lit(".")).try_cast("double")
     bound = F.lit(False)
     for w in config.LIMIT_BOUND_WORDS:
@@ -38,28 +46,27 @@ def candidate_limits(pages: DataFrame) -> DataFrame:
     # steps in hundredths, so that they add up exactly
     cents = F.lit(55) + F.when(F.col("candidate_threshold").isNotNull(), 20).otherwise(0) + F.when(bound, 15).otherwise(0)
     df = df.select("*", threshold.alias("candidate_threshold"))
-    return df.select("doc_id", "page", "pos", F.substring(F.trim("chunk"), 1, SHOWN_CHARS).alias("extracted_text"),
+    return df.select("doc_id", "page", "pos", _strip(F.col("chunk")).alias("extracted_text"),
                      _first_keyword(F.col("_n"), 1).alias("candidate_metric"), "candidate_threshold",
                      (F.least(cents, F.lit(95)) / 100.0).alias("confidence"), _first_keyword(F.col("_n"), 2).alias("suggested_rule_id"),
                      F.when(cents < 80, "REVIEW_REQUIRED").otherwise("CANDIDATE_OK").alias("status"))
 
 
-def text_quality(pages: DataFrame, sample_pages: int = 8) -> DataFrame:
+def text_quality(pages: DataFrame) -> DataFrame:
     """Per document: pages, characters, and whether its text reads as real text.
 
-    The first pages decide, as a whole: too short, or no keyword and fewer than two common words.
-    Keyword hits and word counts are taken per page and added, so no document is put together.
+    All pages decide, as a whole: too short, or no keyword and fewer than two common words. A document
+    without text is not garbled. Keyword hits and word counts are taken per page and added, so no
+    document is put together.
     """
     norm = normalize_label(F.col("text"))
-    df = pages.select("doc_id", "page", F.length(F.trim("text")).alias("chars"), norm.alias("_n"), F.length("text").alias("_raw"))
+    df = pages.select("doc_id", "page", F.length(_strip(F.col("text"))).alias("chars"), norm.alias("_n"), F.length("text").alias("_raw"))
     common = sum((F.regexp_count("_n", F.lit(w)) for w in config.COMMON_LEGAL_WORDS), F.lit(0))
-    hits = F.array(*[F.col("_n").contains(k[0]) for k in config.LIMIT_KEYWORDS])
-    df = df.select("doc_id", "page", "chars", "_raw", common.alias("common"), F.array_contains(hits, True).alias("hit"))
-    early = F.col("page") <= sample_pages
+    df = df.select("doc_id", "page", "chars", "_raw", common.alias("common"), F.col("_n").rlike(_ANY_KEYWORD).alias("hit"))
     per = df.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("chars") > 0).alias("pages_with_text"), F.sum("chars").alias("total_chars"),
-        F.sum(F.when(early, F.col("_raw"))).alias("_len"), F.bool_or(early & F.col("hit")).alias("_hit"), F.sum(F.when(early, F.col("common"))).alias("_common"))
-    garbled = (F.col("_len") < MIN_CHARS) | (~F.col("_hit") & (F.col("_common") < 2))
+        F.sum("_raw").alias("_len"), F.bool_or("hit").alias("_hit"), F.sum("common").alias("_common"))
+    garbled = (F.col("total_chars") > 0) & ((F.col("_len") < MIN_CHARS) | (~F.col("_hit") & (F.col("_common") < 2)))
     return per.select("doc_id", "n_pages", "pages_with_text", "total_chars", garbled.alias("garbled"),
                       F.when(F.col("total_chars") == 0, "LOW_CONFIDENCE_NO_TEXT").when(garbled, "LOW_CONFIDENCE_GARBLED").otherwise("OK").alias("status"))
 

@@ -12,7 +12,6 @@ from prudens.operators.redflags import red_flags
 from prudens.sources import settings
 
 FINDING = ["category", "severity", "bank_id", "period", "metric", "message"]
-MAX_GAPS_LISTED = 12  # fixed value: the report lists at most this many missing periods per series
 
 
 def _finding(df: DataFrame, category: str, severity, message: Column, bank=True, period=True, metric=True) -> DataFrame:
@@ -40,10 +39,10 @@ def short_history(panel: DataFrame, min_periods: int = 3) -> DataFrame:
                     period=False, metric=False)
 
 
-def missing_periods(panel: DataFrame, min_periods: int = 3, listed: int | None = MAX_GAPS_LISTED) -> DataFrame:
+def missing_periods(panel: DataFrame, min_periods: int = 3, listed: int | None = None) -> DataFrame:
     """Calendar steps between a series' first and last period that have no record.
 
-    The report names the first ``listed`` gaps of a series; ``listed=None`` names all.
+    All gaps are findings; a report that shows only the first of each series passes ``listed``.
     """
     step = F.when(F.col("frequency") == "monthly", 1).when(F.col("frequency") == "quarterly", 3).when(F.col("frequency") == "yearly", 12)
     month = lambda c: F.year(c) * 12 + F.month(c) - 1
@@ -112,14 +111,11 @@ def legal_data_gaps(features: DataFrame, scope: DataFrame, inst: DataFrame, metr
 
 
 def ratios_not_evaluated(gaps: DataFrame) -> DataFrame:
-    """Dropped ratios per bank and metric, naming the first three periods."""
+    """Dropped ratios per bank and metric with all their periods, which the calendar bounds."""
     per = gaps.groupBy("bank_id", "metric", "period").agg(F.count(F.lit(1)).alias("k"))
-    rank = F.row_number().over(Window.partitionBy("bank_id", "metric").orderBy("period"))
-    grouped = per.withColumn("rn", rank).groupBy("bank_id", "metric").agg(
-        F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_periods"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.col("period")))), ", ").alias("shown"))
-    text = F.concat(F.lit("not evaluated in "), F.col("n").cast("string"), F.lit(" periods ("), "shown",
-                    F.when(F.col("n_periods") > 3, "…").otherwise(""), F.lit(")"))
+    grouped = per.groupBy("bank_id", "metric").agg(
+        F.sum("k").alias("n"), F.array_join(F.array_sort(F.collect_list("period")), ", ").alias("shown"))
+    text = F.concat(F.lit("not evaluated in "), F.col("n").cast("string"), F.lit(" periods ("), "shown", F.lit(")"))
     return _finding(grouped, "RATIO_NOT_EVALUATED", "INFO", text, period=False)
 
 

@@ -10,27 +10,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
-def staging_root(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; a temporary one only for local masters without a setting."""
+def staging_root(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only for a local master without a setting, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and spark.sparkContext.master.startswith("local"):
+    if root is None and spark.sparkContext.master.startswith("local["):
         app = spark.sparkContext.applicationId
         root = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="prudens-"))
+    if root is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return root
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back; without any shared folder it is persisted instead."""
+    """Write ``df`` and read it back."""
     spark = df.sparkSession
-    root = staging_root(spark)
-    if root is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{root.rstrip('/')}/prudens/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{staging_root(spark).rstrip('/')}/prudens/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -250,7 +250,7 @@ from e where not exists (select 1 from s where s.bank_id = e.bank_id and s.frequ
   and case when e.frequency = 'yearly' then s.m // 12 = e.m // 12 else s.m = e.m end)""")
 
 
-@query("validation_missing_periods", "V03", "select 'MISSING_PERIOD' as category, 'MEDIUM' as severity, bank_id, period from missing_p where rn <= 12")
+@query("validation_missing_periods", "V03", "select 'MISSING_PERIOD' as category, 'MEDIUM' as severity, bank_id, period from missing_p")
 def _missing(fx):
     return validation.missing_periods(fx.view("fx_panel")).select("category", "severity", "bank_id", "period")
 
@@ -258,12 +258,16 @@ def _missing(fx):
 fragment("neg", " union all ".join(f"select bank_id, period, '{m}' as metric, {m} as v from feat where {m} < 0" for m in config.NON_NEGATIVE))
 
 
+# the nine amounts, and three columns of the data that do fall below zero
+NEGATIVE_CHECKED = list(dict.fromkeys([*config.NON_NEGATIVE, "profit_before_tax", "funding_gap", "equity"]))
+
+
 @query("validation_negative", "V04", f"select bank_id, period, metric, {r('v', 2)} as value from (" + " union all ".join(
-    f"select bank_id, period, '{m}' as metric, {m} as v from feat where {m} < 0" for m in ["profit_before_tax", "funding_gap", "equity"]) + ")")
+    f"select bank_id, period, '{m}' as metric, {m} as v from feat where {m} < 0" for m in NEGATIVE_CHECKED) + ")")
 def _neg(fx):
-    out = validation.negatives(fx.features, ["profit_before_tax", "funding_gap", "equity"])
+    out = validation.negatives(fx.features, NEGATIVE_CHECKED)
     return out.select("bank_id", "period", "metric").join(
-        _long_values(fx, ["profit_before_tax", "funding_gap", "equity"]), ["bank_id", "period", "metric"])
+        _long_values(fx, NEGATIVE_CHECKED), ["bank_id", "period", "metric"])
 
 
 def _long_values(fx, metrics):
@@ -313,8 +317,8 @@ def _legal_gap(fx):
 
 
 fragment("not_eval", """
-select bank_id, metric, 'not evaluated in ' || cast(n as varchar) || ' periods (' || shown || case when n > 3 then '…' else '' end || ')' as message
-from (select bank_id, metric, count(*) as n, array_to_string(list_sort(list(period))[1:3], ', ') as shown from ratio_gap group by bank_id, metric)""")
+select bank_id, metric, 'not evaluated in ' || cast(n as varchar) || ' periods (' || shown || ')' as message
+from (select bank_id, metric, count(*) as n, array_to_string(list_sort(list(distinct period)), ', ') as shown from ratio_gap group by bank_id, metric)""")
 
 
 @query("validation_ratio_not_evaluated", "V09", "select * from not_eval")
@@ -397,7 +401,7 @@ fragment("validation", """
 select category, severity, bank_id, period, metric from flag
 union all select 'DUPLICATE', 'MEDIUM', bank_id, period, metric_name from fx_panel group by bank_id, frequency, period, metric_name having count(*) > 1
 union all select 'SHORT_HISTORY', 'HIGH', bank_id, null, null from (select bank_id, frequency, count(distinct period) as n from fx_panel group by bank_id, frequency) where n < 3
-union all select 'MISSING_PERIOD', 'MEDIUM', bank_id, period, null from missing_p where rn <= 12
+union all select 'MISSING_PERIOD', 'MEDIUM', bank_id, period, null from missing_p
 union all select 'NEGATIVE', 'HIGH', bank_id, period, metric from neg
 union all select 'OUT_OF_RANGE', 'MEDIUM', bank_id, period, metric from oor
 union all select 'MISSING_LEGAL_METRIC', 'HIGH', null, null, metric from (select distinct metric from tier_rule where metric = 'tctcvm_solvency_ratio')

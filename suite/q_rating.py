@@ -158,7 +158,8 @@ def _explain(fx):
     return scored(fx).where("code = '5.3' and explanation is not null").select("object_id", "period", "code", "explanation")
 
 
-@query("rating_band_builders", "G08", "select bank_id, period, case when car_solo >= 15 then 5 when car_solo >= 12 then 4 when car_solo >= 8 then 3 when car_solo >= 5 then 2 else 1 end::double as higher, case when npl_ratio <= 1 then 5 when npl_ratio <= 1.5 then 4 when npl_ratio <= 3 then 3 when npl_ratio <= 5 then 2 else 1 end::double as lower from feat where car_solo is not null")
+@query("rating_band_builders", "G08", "select bank_id, period, case when h >= 15 then 5 when h >= 12 then 4 when h >= 8 then 3 when h >= 5 then 2 else 1 end::double as higher, case when l <= 1 then 5 when l <= 1.5 then 4 when l <= 3 then 3 when l <= 5 then 2 else 1 end::double as lower "
+       f"from (select bank_id, period, {r('car_solo')} as h, {r('npl_ratio')} as l from feat where car_solo is not null)")
 def _builders(fx):
     c = [Criterion("h", "h", "C", V("H"), (), None, {"ALL": (100, higher_is_better(15, 12, 8, 5))}), Criterion("l", "l", "A", V("L"), (), None, {"ALL": (100, lower_is_better(1, 1.5, 3, 5))})]
     i = fx.features.where("car_solo is not null").selectExpr("bank_id as object_id", "period", "'X' as type_code", "map('a', 'b') as attributes", "map('H', car_solo, 'L', npl_ratio) as data")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from suite.fixtures import Fixtures
-from suite.oracle import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +20,6 @@ def query(name: str, rows: str, sql: str | None = None):
         QUERIES[name] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
         ROWS[name] = rows
         if sql is not None:
-            ORACLES[name] = build(sql)
+            ORACLES[name] = sql
         return fn
     return wrap
