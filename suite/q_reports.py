@@ -93,7 +93,7 @@ def _sbrk(fx):
     return reports.stress_breaking(stress.breaking_points(stress.stress_inputs(fx.features)), fx.features).select("bank_id", "baseline_car", "breaking_npl_pp")
 
 
-_HP = ["1995-01", "1995-06", "1996-12"]
+_HP = [f"{y}-{m:02d}" for y in range(1992, 1999) for m in range(1, 13)]  # every month of the data
 
 
 @query("report_heatmap", "P10", "select bank_id, " + ", ".join(f"max(final_risk_score) filter (period = '{p}') as \"{p}\"" for p in _HP) + " from scored group by bank_id")
