@@ -6,9 +6,12 @@ Bands of 4 bins make bucket keys. Equal shingle sets become one node first, so e
 further. In a bucket every node is paired with one centre only, so pairs grow with the nodes, not with
 their square; each pair is confirmed on the full sets and confirmed pairs are joined into components.
 
-A star can miss a link of two nodes that both fail against the centre. So later rounds take, in every bucket
-that still holds several components, two other centres, drawn anew in each bucket and round, against the
-nodes of other components, until a round brings no new link.
+The centre is the node whose buckets are largest together: that which the others are copies of.
+Pairs whose nodes are already known to be in one component are not confirmed again: a node meets one of its
+centres first, and the others only if they are elsewhere. A star can miss a link of two nodes that both
+fail against the centre. So later rounds take, in every bucket that still holds several components, six other
+centres, drawn anew in each bucket and round, against the nodes of other components, until a round brings no
+new link. Nodes of which too many shingles occur in no other node can't link and are left out first.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null or empty texts, and texts without
 words, have an empty set and link with nothing; component_id is null only where all doc_ids of a component
@@ -28,6 +31,8 @@ from prudens.llm.common import U64, Scratch, batch, keyed, mix, row_id, shingle_
 
 BINS, BANDS, BAND_ROWS = 128, 30, 4
 SHINGLE = 5
+#: Pairs of centres that a later round draws in each bucket.
+DRAWS = 3
 _PROBES = np.random.default_rng(20_240_607).integers(0, BINS, (8192, BINS)).astype(np.uint8)
 _FACTORS = np.random.default_rng(17).integers(1, 1 << 63, BAND_ROWS).astype(U64) | U64(1)
 
@@ -73,7 +78,15 @@ def _sign(batches):
 
 def _sets(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, SHINGLE).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t, SHINGLE).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["node", "rid", "shingles"])
+
+
+def _single(batches):
+    """A row for each shingle of a set."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            rids, sets = (c.to_pylist() for c in b.slice(lo, 1000).columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), np.int64)), pa.array(np.repeat(np.array(rids, np.int64), [len(x) // 8 for x in sets]))], names=["h", "rid"])
 
 
 def _confirm(percent: int):
@@ -96,21 +109,34 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Each step takes the smallest label among a node's neighbours, then that label's own label.
     """
-    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-both")
+    both = scratch.write(links.select("a", "b").union(links.select("b", "a")), f"{name}-both")
     labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), f"{name}-0")
     step = 0
     while True:
+        step += 1
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("theirs")), "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
         low = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "theirs").alias("label"))
-        step += 1
-        low = scratch.write(low, f"{name}-{step}a")
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = scratch.write(low.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")), f"{name}-{step}")
-        done = new.where(F.col("before") != F.col("label")).isEmpty()
-        scratch.drop(f"{name}-{step}a", f"{name}-{step - 1}")
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = scratch.write(low.join(further, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")), f"{name}-{step}")
+        if new.where("before != label").isEmpty():
+            return new.select("node", "label")
         labels = new.select("node", "label")
-        if done:
-            return labels
+
+
+def _labelled(df: DataFrame, column: str, labels: DataFrame, to: str) -> DataFrame:
+    """``df`` with the label of a node column; a node without one is its own."""
+    return df.join(labels.select(F.col("node").alias(column), F.col("label").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
+
+
+def _merge(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Labels after further links: components of what the links tie together, usually few labels."""
+    tied = _labelled(_labelled(links, "a", labels, "la"), "b", labels, "lb").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    tied = scratch.write(tied, f"{name}-tied")
+    if tied.isEmpty():
+        return labels
+    joined = components(tied, scratch, name).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    own = joined.select(F.col("label").alias("node"), F.col("least").alias("label")).join(labels, "node", "left_anti")
+    return scratch.write(labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label")).union(own), f"{name}-labels")
 
 
 def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -121,39 +147,51 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     signed = scratch.write(texts.mapInArrow(_sign, "rid long, id long, n long, node binary, bands array<long>"), "signed")
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.first("bands").alias("bands"))
     places = nodes.select("node", "rid", F.explode("bands").alias("band"))
-    shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    busy = scratch.write(places.join(shared, "band"), "busy")
-    wanted = busy.select("node", "rid").distinct()
-    sets = scratch.write(texts.select("rid", "text").join(wanted, "rid").select("node", "text").mapInArrow(_sets, "node binary, shingles binary"), "sets", "uncompressed")
+    shared = places.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # a node's weight is the size of its buckets together: what others are copies of has the largest
+    weighed = places.join(shared, "band").groupBy("node").agg(F.first("rid").alias("rid"), F.sum("c").alias("w"), F.collect_list("band").alias("bands"))
+    weighed = scratch.write(weighed, "weighed")
+    sets = scratch.write(texts.select("rid", "text").join(weighed.select("rid", "node"), "rid").select("node", "rid", "text").mapInArrow(_sets, "node binary, rid long, shingles binary"), "sets", "uncompressed")
+    # a node links with nothing if too many of its shingles are its own alone
+    lone = (sets.select("rid", "shingles").mapInArrow(_single, "h long, rid long").groupBy("h").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("c")).where("c = 1")
+            .groupBy("rid").agg(F.count(F.lit(1)).alias("alone")))
+    n = F.octet_length("shingles") / 8
+    able = sets.select("node", "rid", n.alias("n")).join(lone, "rid", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("node").distinct()
+    spread = scratch.write(weighed.join(able, "node").select("node", "w", F.explode("bands").alias("band")), "spread")
+    centres = spread.groupBy("band").agg(F.max(F.struct("w", "node")).alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "b")
+    busy = scratch.write(spread.join(centres, "band").select("band", "node", "b"), "busy")
+    # every node first meets the weightiest of its centres only; most of a group is joined by that
+    first = scratch.write(busy.groupBy("node").agg(F.max("b").alias("b")).select("node", F.col("b.node").alias("b")), "first")
+    busy = busy.select("band", "node", F.col("b.node").alias("b"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         got = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
                .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb"))
-        return scratch.write(got.mapInArrow(_confirm(percent), "a binary, b binary").distinct(), name)
-
-    centres = busy.groupBy("band").agg(F.min("node").alias("b"))
-    tried = scratch.write(busy.join(centres, "band").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "tried-0")
-    links = confirmed(tried, "links-0")
-    labels = components(links, scratch, "labels-0")
-    step = 0
+        return scratch.write(got.mapInArrow(_confirm(percent), "a binary, b binary"), name)
+
+    links = confirmed(first.where("node != b").select(F.col("node").alias("a"), "b"), "links-0")
+    parents = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    up = parents.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    twice = parents.join(up, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    labels = scratch.write(twice, "labels-0")
+    # then all its other centres that are not known to be in its component
+    tried = first.select(F.col("node").alias("a"), F.col("b").alias("b0"))
+    rest = busy.where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    rest = _labelled(_labelled(rest.join(tried, "a").where("b != b0").select("a", "b"), "a", labels, "la"), "b", labels, "lb").where("la != lb").select("a", "b")
+    labels = _merge(labels, links.union(confirmed(rest, "links-1")), scratch, "merge-1")
+    step = 1
     while True:
         step += 1
-        placed = busy.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        draw = F.xxhash64("node", "band", F.lit(step))
-        two = placed.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min_by(F.struct("node", "label"), draw).alias("x"), F.max_by(F.struct("node", "label"), draw).alias("y")).where("l0 != l1")
-        met = placed.join(two, "band").select("node", "label", F.explode(F.array("x", "y")).alias("c")).where("label != c.label")
-        pairs = met.select(F.least("node", "c.node").alias("b"), F.greatest("node", "c.node").alias("a")).distinct().select("a", "b").join(tried, ["a", "b"], "left_anti")
-        more = scratch.write(pairs, f"tried-{step}")
-        if more.isEmpty():
-            break
-        found = confirmed(more, f"links-{step}")
-        tried = tried.union(more)
+        placed = _labelled(busy.select("band", "node"), "node", labels, "label")
+        drawn = [f(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(DRAWS * step + i))) for i in range(DRAWS) for f in (F.min_by, F.max_by)]
+        several = placed.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.array(*drawn).alias("c")).where("l0 != l1").select("band", "c")
+        met = placed.join(several, "band").select("node", "label", F.explode("c").alias("c")).where("label != c.label")
+        found = confirmed(met.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct(), f"links-{step}")
         if found.isEmpty():
             break
-        links = links.union(found)
-        labels = components(links, scratch, f"labels-{step}")
+        labels = _merge(labels, found, scratch, f"merge-{step}")
     scratch.drop("sets", "busy")
-    placed = signed.where("n > 0").select("rid", "id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = _labelled(signed.where("n > 0").select("rid", "id", "n", "node"), "node", labels, "label")
     smallest = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rid")).alias("least"))
     full = placed.join(smallest, "label").select("rid", "id", "n", F.col("least.id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("chosen"))
     empty = signed.where("n = 0").select("rid", "id", "n", F.col("id").alias("component_id"), F.lit(True).alias("chosen"))
