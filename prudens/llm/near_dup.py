@@ -185,7 +185,8 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
         placed = _labelled(busy.select("band", "node"), "node", labels, "label")
         drawn = [f(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(DRAWS * step + i))) for i in range(DRAWS) for f in (F.min_by, F.max_by)]
         several = placed.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.array(*drawn).alias("c")).where("l0 != l1").select("band", "c")
-        met = placed.join(several, "band").select("node", "label", F.explode("c").alias("c")).where("label != c.label")
+        others = F.filter(F.array_distinct("c"), lambda c: c["label"] != F.col("label"))
+        met = placed.join(several, "band").select("node", F.explode(others).alias("c"))
         found = confirmed(met.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct(), f"links-{step}")
         if found.isEmpty():
             break
