@@ -13,6 +13,11 @@ fail against the centre. So later rounds take, in every bucket that still holds
 centres, drawn anew in each bucket and round, against the nodes of other components, until a round brings no
 new link. Nodes of which too many shingles occur in no other node can't link and are left out first.
 
+The rounds only save work; what they leave is settled exactly. The nodes of buckets that still hold several
+components meet on their rarest shingles: sets that are similar enough share one of the n - ceil(p n) + 1 rarest
+of each, and the first shared one stands early enough in both for the rest to hold what a link needs. All such
+pairs of different components are confirmed, so no two nodes that share a bucket are left unmet.
+
 Defined cases: a text of fewer words than a shingle is one shingle; null or empty texts, and texts without
 words, have an empty set and link with nothing; component_id is null only where all doc_ids of a component
 are; null doc_ids are never the smallest; repeated rows link as equal sets, and all rows that hold the
@@ -89,6 +94,28 @@ def _single(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), np.int64)), pa.array(np.repeat(np.array(rids, np.int64), [len(x) // 8 for x in sets]))], names=["h", "rid"])
 
 
+def _rarest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(h, i, n, node, label): of each node, the shingles it must share one of with any node it links with.
+
+    Rarest first, in an order common to all nodes; ``i`` is the place in it and ``n`` the size of the set.
+    """
+    own = sets.join(left, "node").groupBy("node").agg(F.first("label").alias("label"), F.first("rid").alias("rid"), F.first("shingles").alias("shingles"))
+    each = own.select("rid", "shingles").mapInArrow(_single, "h long, rid long")
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    n = F.size("s")
+    rarest = each.join(counts, "h").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s")).select("rid", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)).alias("i", "s"))
+    return rarest.where("s.c > 1").join(own.select("rid", "node", "label"), "rid").select(F.col("s.h").alias("h"), "i", "n", "node", "label")
+
+
+def _crossing(heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b): nodes of different components that share one of their rarest shingles and can still share enough."""
+    several = heads.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("h")
+    heads = heads.join(several, "h")
+    x, y = (heads.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("i", "n", "node", "label")]) for k in "xy")
+    enough = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    return x.join(y, "h").where((F.col("labelx") < F.col("labely")) & enough).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
@@ -191,6 +218,10 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
         if found.isEmpty():
             break
         labels = _merge(labels, found, scratch, f"merge-{step}")
+    left = scratch.write(placed.join(several.select("band"), "band").select("node", "label").distinct(), "left")
+    if not left.isEmpty():
+        heads = scratch.write(_rarest(left, sets, percent), "heads")
+        labels = _merge(labels, confirmed(_crossing(heads, percent), "links-exact"), scratch, "merge-exact")
     scratch.drop("sets", "busy")
     placed = _labelled(signed.where("n > 0").select("rid", "id", "n", "node"), "node", labels, "label")
     smallest = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "rid")).alias("least"))

@@ -152,3 +152,11 @@ def test_containment(spark, frame, rows):
         assert sorted((r.doc_id for r in left.collect()), key=lambda x: (x is None, x)) == sorted((i for i, _ in rows if i not in hit), key=lambda x: (x is None, x))
     assert decontaminate.search(frame(rows), table.limit(0)).count() == 0 and decontaminate.search(frame(rows).limit(0), table).count() == 0
     assert rng
+
+
+def test_near_dup_links_that_no_centre_shows(spark):
+    """Pages on one template share their buckets and don't link, but for two whose own parts are short."""
+    base = [f"b{i}" for i in range(104)]
+    rows = [(k, " ".join(base + [f"o{k}x{i}" for i in range(7 if k in (300, 301) else 12)])) for k in range(600)]
+    got = {r.doc_id: r.component_id for r in near_dup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {301: 300}
