@@ -3,8 +3,9 @@
 The tokenizer drops white space before it merges, and never merges letters or digits with the marks
 beside them. So a text's ids are those of its parts, one after the other: runs of letters and digits,
 runs of plain marks, and whole runs between blanks where any other character (quotes, combining marks,
-brackets of special tokens) could tie neighbours together. A worker asks the library once for the parts
-it has not seen lately, in one call a batch; the cache's size is bounded.
+brackets of special tokens) could tie neighbours together. Only runs of letters and digits are lower-cased
+before the library sees them: special tokens are matched on the raw text and hold other characters. A worker
+asks the library once for the parts it has not seen lately, in one call a batch; the cache's size is bounded.
 """
 from __future__ import annotations
 
@@ -27,9 +28,10 @@ _BEYOND = re.compile(r"[^\x00-į]")
 
 
 def parts(text: str) -> list[str]:
-    if _BEYOND.search(text) is None:
-        text = text.lower()
-    return (_PLAIN if _OTHER.search(text) is None else _MIXED).findall(text)
+    plain = _OTHER.search(text) is None
+    if _BEYOND.search(text) is not None:
+        return (_PLAIN if plain else _MIXED).findall(text)
+    return _PLAIN.findall(text.lower()) if plain else [p.lower() if p.isalnum() else p for p in _MIXED.findall(text)]
 
 
 class Encoder:

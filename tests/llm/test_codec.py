@@ -31,6 +31,11 @@ def test_cached_encoding_is_the_library(lib, word_bpe):
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(word_bpe).encode(texts)] == [plain(lib, t) for t in texts]
 
 
+def test_special_tokens_keep_their_case(lib, word_bpe):
+    texts = [b + x + a for x in ("<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>") for b in ("", "A ", "Été", "ɏ ", "日 ") for a in ("", " B", "É", " <|endoftext|>")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(word_bpe).encode(texts)] == [plain(lib, t) for t in texts]
+
+
 @pytest.mark.parametrize("alphabet", ["a", "ab", "thein", "aeé日", ODD, "thin '!s"])
 def test_joined_halves_are_the_whole(lib, alphabet):
     rng = random.Random(alphabet)
