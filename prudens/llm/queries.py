@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, over their whole tables, and the SQL oracles."""
+"""The registered queries of the operators, over their whole tables, and the SQL oracles."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prudens.llm import bpe_tree, context_tree, dac, decontaminate, near_dup, quality, substring_dedup, suffix_dedup, warc, weighted
+from prudens.llm import bpe_tree, context_tree, dac, decontaminate, exact_dup, near_dup, prefix_trie, quality, structure_repair, substring_dedup, suffix_dedup, warc, weighted
 from prudens.llm.common import Scratch
 from prudens.llm.oracles import ORACLES  # noqa: F401
 
@@ -78,3 +78,19 @@ def op9_warc(spark, sf_dir):
 @query
 def op10_fingerprints(spark, sf_dir):
     return weighted.compare_with_next(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
+@query
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dup.digest(_table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    scratch = Scratch(spark, "op12")
+    return prefix_trie.nodes(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations"), scratch), scratch)
+
+
+@query
+def op13_structure_repair(spark, sf_dir):
+    return structure_repair.repair(structure_repair.damage(_table(spark, sf_dir, "conversations")), Scratch(spark, "op13"))

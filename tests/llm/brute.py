@@ -109,3 +109,95 @@ def tree_ln(counts, context, depth, d=0):
     total = sum(tree_ln(counts, k, depth, d + 1) for k in kids)
     m = max(own, total)
     return m + math.log(.5 * math.exp(own - m) + .5 * math.exp(total - m))
+
+
+def equal_texts(docs):
+    groups = collections.defaultdict(list)
+    for i, t in docs:
+        groups[t or ""].append(i)
+    out = []
+    for i, t in docs:
+        ids = groups[t or ""]
+        keep = max((x for x in ids if x is not None), default=None)
+        out.append((i, keep, len(ids), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    return out
+
+
+def turn_key(turn, role, text):
+    return turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()
+
+
+def trie(rows):
+    """Nodes of the rebuilt conversations, by dictionaries of whole prefixes."""
+    convs = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            convs[c].append((t, role or "", text or ""))
+    convs = {c: [x[1:] for x in sorted(v, key=lambda x: turn_key(*x))] for c, v in convs.items()}
+    members, kids = collections.defaultdict(list), collections.defaultdict(list)
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        whole = convs.get(c - int(math.fmod(c, 100)), [])[:h] + own[h:]
+        for d in range(len(whole) + 1):
+            members[tuple(whole[:d])].append((c, len(whole)))
+    for k in members:
+        if k:
+            kids[k[:-1]].append(k)
+    out = {}
+    for k in sorted(members, key=len, reverse=True):
+        n = len(members[k])
+        ends = ",".join(str(c) for c in sorted(c for c, size in members[k] if size == len(k)))
+        out[k] = (min(members[k])[0], len(k), min(members[k[:-1]])[0] if k else None, n, len(kids[k]), sum(out[c][5] for c in kids[k]) or 1,
+                  sum(out[c][6] for c in kids[k]) + ((n - 1) * len(k[-1][1]) if k else 0), hashlib.sha256(ends.encode()).hexdigest())
+    return list(out.values())
+
+
+def damaged(rows):
+    out = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = {1: "", 2: re.sub("[.!?]", "", text)}.get(kind, text)
+        out[c] += [(t, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    return out
+
+
+def repairs(convs):
+    """All ways from each turn and state, tried out."""
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+    out = []
+    for c, turns in convs.items():
+        turns = sorted(turns, key=lambda x: turn_key(*x))
+        seen, faults = set(), []
+        for _, role, text in turns:
+            end = text.rstrip("\x20\x09\x0a\x0b\x0c\x0d")
+            faults.append("blank" if not end else "duplicate" if (role, text) in seen else "" if end[-1] in ".!?" else "truncated")
+            seen.add((role, text))
+
+        memo = {}
+
+        def best(i, state, inserts):
+            if (i, state, inserts) not in memo:
+                ways = [(0, "", ())] if i == len(turns) and state in ("", "a") else []
+                options = [("I", 5, i, x, inserts + 1, (x + ":",)) for x in ("user", "assistant") if inserts < 3]
+                if i < len(turns):
+                    _, role, text = turns[i]
+                    options.append(("D", 2, i + 1, None, 0, ()))
+                    if faults[i] not in ("blank", "duplicate"):
+                        more = 5 * (faults[i] == "truncated")
+                        options += [("K", more, i + 1, role, 0, (f"{role}:{text}",)), *[("R", 1 + more, i + 1, x, 0, (f"{x}:{text}",)) for x in ("user", "assistant")]]
+                for letter, cost, j, role, k, line in options:
+                    if role is None or role[:1] and role[0] in follow[state]:
+                        cost2, audit, lines = best(j, state if role is None else role[0], k)
+                        ways.append((cost + cost2, letter + audit, line + lines))
+                memo[i, state, inserts] = min(ways, default=(10 ** 9, "", ()))
+            return memo[i, state, inserts]
+
+        for i in range(len(turns), 0, -1):  # keeps the recursion shallow
+            for state in follow:
+                best(i, state, 0)
+        cost, audit, lines = best(0, "", 0)
+        numbers = {t for t, _, _ in turns if t is not None}
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        out.append((c, max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return out

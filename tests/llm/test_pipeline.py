@@ -37,6 +37,6 @@ def test_stages(spark, tmp_path, word_bpe):
     lib = Tokenizer.from_file(word_bpe)
     assert {i: list(r.ids) for i, r in seen[4].items()} == {i: lib.encode(r.text, add_special_tokens=False).ids for i, r in seen[3].items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
-    assert sum(k.startswith("op") for k in queries.QUERIES) == 10
+    assert sum(k.startswith("op") for k in queries.QUERIES) == 13
 
 
