@@ -1,67 +1,7 @@
-"""Exact order statistics within groups, without gathering a group in one task.
-
-A plain window over ``(period, metric)`` or an exact ``percentile`` keeps every bank of a
-period in one task. Here a group is cut at approximate quantiles into bounded buckets;
-bucket totals give each bucket's offset and only a bucket is ever sorted in one place.
-Equal values are counted before the shuffle, so a value shared by a third of the rows is
-one row. The result is exact: the approximate cuts only decide where to split.
-"""
+"""Shares of columns."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-DEFAULT_BUCKETS = 32
-
-
-def value_positions(df: DataFrame, keys: list[str], value: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row per distinct non-null value of each group: ``n_eq``, ``n_below``, ``n_total``.
-    ``buckets`` is a power of two."""
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("n_eq")))
-    probes = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probes, 10 * buckets).alias("_cuts"))
-    placed = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))
-    # number of cuts below the value, by binary search: stays in generated code
-    placed = placed.select(*keys, value, "n_eq", "_cuts", F.lit(0).alias("_b"))
-    step = buckets // 2
-    while step:
-        placed = placed.selectExpr(*[f"`{k}`" for k in keys], value, "n_eq", "_cuts",
-                                   f"_b + if(_cuts[_b + {step - 1}] < {value}, {step}, 0) as _b")
-        step //= 2
-    placed = placed.drop("_cuts")
-    per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("n_eq").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("n_total"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(offsets, [*keys, "_b"]).select(
-        *keys, value, "n_eq",
-        (F.col("_off") + F.coalesce(F.sum("n_eq").over(inside), F.lit(0))).alias("n_below"), "n_total")
-
-
-def average_rank_pct(n_below: str = "n_below", n_eq: str = "n_eq", n_total: str = "n_total") -> Column:
-    """Average-tie percentile rank in 0..100."""
-    return (F.col(n_below) + (F.col(n_eq) + 1) / 2) / F.col(n_total) * 100
-
-
-def quantiles_from_positions(positions: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles (position ``(n - 1) * q``) of each group."""
-    aggs, outs = [], []
-    for name, q in probs.items():
-        at = (F.col("n_total") - 1) * F.lit(float(q))
-        lo = F.floor(at)
-        upto = F.col("n_below") + F.col("n_eq")
-        aggs += [F.min(F.when(upto > lo, F.col(value))).alias(f"_{name}_lo"),
-                 F.min(F.when(upto > F.least(lo + 1, F.col("n_total") - 1), F.col(value))).alias(f"_{name}_hi"),
-                 F.first(at - lo).alias(f"_{name}_frac")]
-        outs.append((F.col(f"_{name}_lo") + F.col(f"_{name}_frac") * (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))).alias(name))
-    return positions.groupBy(*keys).agg(*aggs).select(*keys, *outs)
-
-
-def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    return quantiles_from_positions(value_positions(df, keys, value, buckets), keys, value, probs)
+from pyspark.sql import DataFrame, functions as F
 
 
 def null_share(df: DataFrame, cols: list[str]) -> dict[str, float]:

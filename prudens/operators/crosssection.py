@@ -4,32 +4,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prudens import config
-from prudens.functions.stats import (DEFAULT_BUCKETS, average_rank_pct, quantiles_from_positions, value_positions)
+from prudens.functions.ranks import Positions, average_rank_pct
 from prudens.functions.tables import literal_table
 
 
-def systemic_features(long: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def systemic_features(long: DataFrame) -> DataFrame:
     """Adds pct_rank, dev_sys_median and z_cross to ``(…, period, metric, value)``.
 
-    Ranks and medians come from bucketed positions (``prudens.functions.stats``): a period's
-    banks are never sorted in one task, and equal values meet the join as one row.
+    Ranks and medians are exact and come from range partitions (``prudens.functions.ranks``): a period's banks
+    are never sorted in one task, and no row is joined back on its value.
     """
     keys = ["period", "metric"]
-    pos = value_positions(long, keys, "value", buckets)
-    med = quantiles_from_positions(pos, keys, "value", {"median": 0.5})
-    spread = long.groupBy(*keys).agg(F.stddev_samp("value").alias("_std"))
-    ranks = pos.select(*keys, "value", average_rank_pct().alias("pct_rank"))
-    v = F.col("value")
-    return (long.join(ranks, [*keys, "value"], "left").join(med, keys, "left").join(spread, keys, "left")
-            .select(*long.columns, "pct_rank", (v - F.col("median")).alias("dev_sys_median"),
-                    F.when(F.col("_std") != 0, (v - F.col("median")) / F.col("_std")).alias("z_cross")))
+    pos = Positions(long, keys, "value", ["bank_id"])
+    spread = pos.source.groupBy(*keys).agg(F.stddev_samp("value").alias("_std"))
+    off = F.col("value") - F.col("median")
+    found = pos.rows_with(pos.quantiles({"median": 0.5}).join(spread, keys)).select(
+        *long.columns, average_rank_pct().alias("pct_rank"), off.alias("dev_sys_median"), F.when(F.col("_std") != 0, off / F.col("_std")).alias("z_cross"))
+    return found.union(pos.nulls.select(*long.columns, *[F.lit(None).cast("double")] * 3))
 
 
-def pct_ranks(long: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def pct_ranks(long: DataFrame) -> DataFrame:
     """Only the percentile rank within period and metric."""
-    keys = ["period", "metric"]
-    ranks = value_positions(long, keys, "value", buckets).select(*keys, "value", average_rank_pct().alias("pct_rank"))
-    return long.join(ranks, [*keys, "value"], "left")
+    pos = Positions(long, ["period", "metric"], "value", ["bank_id"])
+    return pos.rows.select(*long.columns, average_rank_pct().alias("pct_rank")).union(pos.nulls.select(*long.columns, F.lit(None).cast("double")))
 
 
 def small_pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from prudens.functions.ranks import Positions
 from prudens.functions.numeric import half_up
 from prudens.functions.tables import literal_table
 
@@ -603,14 +604,12 @@ def weight_errors(weights: DataFrame, groups: DataFrame, tolerance: float = 1e-4
 def rank_objects(scores: DataFrame, by: str, period: str | None = None) -> DataFrame:
     """Rank and rank text ``i/n`` by a score column within each period; equal scores share a rank.
 
-    Positions come from bucketed counts per score; no period is sorted in one task.
+    Positions come from range partitions; no period is sorted in one task and nothing meets on a score.
     """
-    from prudens.functions.stats import value_positions
     df = scores if period is None else scores.where(F.col("period") == period)
-    df = df.withColumn("_s", half_up(F.coalesce(F.col(by), F.lit(0.0)), 2))
-    pos = value_positions(df, ["period"], "_s").select("period", "_s", (F.col("n_total") - F.col("n_below") - F.col("n_eq") + 1).alias("rank"), "n_total")
-    return df.join(pos, ["period", "_s"]).select(
-        *scores.columns, "rank", F.concat(F.col("rank").cast("string"), F.lit("/"), F.col("n_total").cast("string")).alias("rank_text"))
+    pos = Positions(df.withColumn("_s", half_up(F.coalesce(F.col(by), F.lit(0.0)), 2)), ["period"], "_s", ["object_id"])
+    rank = F.col("n_total") - F.col("n_below") - F.col("n_eq") + 1
+    return pos.rows.select(*scores.columns, rank.alias("rank"), F.concat(rank.cast("string"), F.lit("/"), F.col("n_total").cast("string")).alias("rank_text"))
 
 
 def grade_counts(rated: DataFrame, col: str = "grade") -> DataFrame:

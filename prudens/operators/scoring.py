@@ -7,7 +7,7 @@ from prudens import config
 from prudens.functions import sqltext
 from prudens.functions.numeric import clip, half_up
 from prudens.functions.reshape import ensure_columns, to_long, to_wide
-from prudens.functions.stats import value_positions
+from prudens.functions.ranks import Positions
 from prudens.functions.tables import literal_table
 from prudens.operators.cluster import latest_snapshot
 from prudens.operators.crosssection import pct_ranks
@@ -188,13 +188,11 @@ def composite(domains: DataFrame, rule_scores: DataFrame, quality: DataFrame, an
 def with_rank(scores: DataFrame, within: list[str] | None = None) -> DataFrame:
     """Minimum rank, highest score first, over all bank-periods (or ``within`` a period).
 
-    Scores have two decimals, so they are counted per value first; ranks come from those counts
-    and no window ever holds the rows themselves.
+    Scores have two decimals, so many banks share one; ranks come from range partitions and nothing meets on a score.
     """
-    keys = within or []
-    pos = value_positions(scores, keys, "final_risk_score").select(
-        *keys, "final_risk_score", (F.col("n_total") - F.col("n_below") - F.col("n_eq") + 1).alias("risk_rank"))
-    return scores.join(pos, [*keys, "final_risk_score"], "left")
+    pos = Positions(scores, within or [], "final_risk_score", ["bank_id", "period"])
+    ranked = pos.rows.select(*scores.columns, (F.col("n_total") - F.col("n_below") - F.col("n_eq") + 1).alias("risk_rank"))
+    return ranked.union(pos.nulls.select(*scores.columns, F.lit(None).cast("long")))
 
 
 def bank_ranking(scores: DataFrame) -> DataFrame:
@@ -210,5 +208,4 @@ def risk_scores(features: DataFrame, findings: DataFrame, validation: DataFrame
         features.select("bank_id", "period", F.lit(None).cast("string").alias("category")).where(F.lit(False)))
     domains = domain_scores(score_inputs(features), rs, flags)
     quality = data_quality_score(features, validation, rs, model)
-    # ranking reads the scores several times
-    return with_rank(stage(composite(domains, rs, quality, anomalies, clusters, stress, model), "composite"))
+    return with_rank(composite(domains, rs, quality, anomalies, clusters, stress, model))

@@ -150,15 +150,16 @@ fragment("rank_long", unpivot("feat", "bank_id, bank_name, period, period_ts", R
 fragment("ranked", f"select *, case when value is not null then {_RANK} end as pct_rank from rank_long")
 
 
-def _cross(fx):
-    return crosssection.systemic_features(to_long(fx.features, IDS, XMETRICS))
+def _cross(fx, column):
+    long = to_long(fx.features, IDS, XMETRICS)
+    return crosssection.pct_ranks(long) if column == "pct_rank" else crosssection.systemic_features(long)
 
 
 for _c, _row in [("pct_rank", "X01"), ("dev_sys_median", "X02"), ("z_cross", "X03")]:
     def _make2(c=_c, row=_row):
         @query(f"cross_{c}", row, f"select bank_id, period, metric, {r(c)} as {c} from cross_feat")
         def _run(fx):
-            return _cross(fx).select("bank_id", "period", "metric", half_up(c, 4).alias(c))
+            return _cross(fx, c).select("bank_id", "period", "metric", half_up(c, 4).alias(c))
     _make2()
 
 STRESS_METRICS = list(config.STRESS_INDEX_METRICS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prudens import config
 from prudens.functions.periods import frequency_from_sheet, parse_period
 from prudens.functions.reshape import to_long
-from prudens.functions.stats import average_rank_pct, group_quantiles, value_positions
+from prudens.functions.ranks import Positions, average_rank_pct, group_quantiles
 from prudens.functions.text import normalize_label
 from prudens.operators import anomaly, asof, crosssection, ews, ratios, rating, redflags, rules, scoring, stress, textlimits, trends, tuning, validation
 from prudens.sources import settings
@@ -30,10 +30,13 @@ def months(spark, **series):
 def test_exact_positions_match_numpy_on_skewed_values(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([np.zeros(700), rng.normal(size=900).round(2), rng.normal(size=400) * 1e6])
-    df = spark.createDataFrame([("g", float(v)) for v in values], "k string, v double")
-    q = group_quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.99}, buckets=8).first()
+    df = spark.createDataFrame([("g", float(v), i) for i, v in enumerate(values)] + [("g", None, -1), ("h", 2.0, -2)], "k string, v double, i int").repartition(5)
+    q = group_quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.99}).where("k = 'g'").first()
     assert np.allclose([q["a"], q["b"], q["c"]], np.quantile(values, [0.01, 0.5, 0.99]))
-    got = {r["v"]: r["p"] for r in value_positions(df, ["k"], "v", 8).select("v", average_rank_pct().alias("p")).collect()}
+    pos = Positions(df, ["k"], "v", ["i"], 7)
+    got = {r["v"]: r["p"] for r in pos.rows.where("k = 'g'").select("v", average_rank_pct().alias("p")).collect()}
+    assert np.allclose(pos.quantiles({"b": 0.5}).where("k = 'g'").first()["b"], np.median(values))
+    assert pos.source.select("_part").distinct().count() > 1 and pos.nulls.count() == 1
     for v in (0.0, float(np.max(values)), float(np.min(values))):
         assert got[v] == pytest.approx(((values < v).sum() + ((values == v).sum() + 1) / 2) / len(values) * 100)
 
