@@ -134,8 +134,9 @@ def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The input's rows and columns without documents that contain an item."""
     if (index := _index(items, percent, broadcast_bytes)) is None:
-        hit = search(docs.select(row_id().alias("doc_id"), "text"), items, percent, broadcast_bytes).select(F.col("doc_id").alias("_rid")).distinct()
-        return docs.withColumn("_rid", row_id()).join(hit, "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        hit = search(docs.select(row_id().alias("doc_id"), "text"), items, percent, broadcast_bytes).select(F.col("doc_id").alias("rid")).distinct()
+        whole = docs.select(row_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        return whole.join(hit, "rid", "left_anti").select("row.*")
     at = docs.columns.index("text")
 
     def run(batches):

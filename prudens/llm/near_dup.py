@@ -9,9 +9,9 @@ their square; each pair is confirmed on the full sets and confirmed pairs are jo
 The centre is the node whose buckets are largest together: that which the others are copies of.
 Pairs whose nodes are already known to be in one component are not confirmed again: a node meets one of its
 centres first, and the others only if they are elsewhere. A star can miss a link of two nodes that both
-fail against the centre. So later rounds take, in every bucket that still holds several components, six other
-centres, drawn anew in each bucket and round, against the nodes of other components, until a round brings no
-new link. Nodes of which too many shingles occur in no other node can't link and are left out first.
+fail against the centre. So later rounds draw another centre in every bucket that still holds several components,
+and a node meets one of those that its buckets drew from other components, until a round brings no new link: a
+round makes one pair a node, however many buckets it is in. Nodes of which too many shingles occur in no other node can't link and are left out first.
 
 The rounds only save work; what they leave is settled exactly. The nodes of buckets that still hold several
 components meet on their rarest shingles: sets that are similar enough share one of the n - ceil(p n) + 1 rarest
@@ -36,8 +36,6 @@ from prudens.llm.common import U64, Scratch, batch, keyed, mix, row_id, shingle_
 
 BINS, BANDS, BAND_ROWS = 128, 30, 4
 SHINGLE = 5
-#: Pairs of centres that a later round draws in each bucket.
-DRAWS = 3
 _PROBES = np.random.default_rng(20_240_607).integers(0, BINS, (8192, BINS)).astype(np.uint8)
 _FACTORS = np.random.default_rng(17).integers(1, 1 << 63, BAND_ROWS).astype(U64) | U64(1)
 
@@ -178,7 +176,9 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     # a node's weight is the size of its buckets together: what others are copies of has the largest
     weighed = places.join(shared, "band").groupBy("node").agg(F.first("rid").alias("rid"), F.sum("c").alias("w"), F.collect_list("band").alias("bands"))
     weighed = scratch.write(weighed, "weighed")
-    sets = scratch.write(texts.select("rid", "text").join(weighed.select("rid", "node"), "rid").select("node", "rid", "text").mapInArrow(_sets, "node binary, rid long, shingles binary"), "sets", "uncompressed")
+    # rows that repeat exactly share their rid: one set for each node
+    once = texts.groupBy("rid").agg(F.first("text").alias("text"))
+    sets = scratch.write(once.join(weighed.select("rid", "node"), "rid").select("node", "rid", "text").mapInArrow(_sets, "node binary, rid long, shingles binary"), "sets", "uncompressed")
     # a node links with nothing if too many of its shingles are its own alone
     lone = (sets.select("rid", "shingles").mapInArrow(_single, "h long, rid long").groupBy("h").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("c")).where("c = 1")
             .groupBy("rid").agg(F.count(F.lit(1)).alias("alone")))
@@ -210,11 +210,11 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
     while True:
         step += 1
         placed = _labelled(busy.select("band", "node"), "node", labels, "label")
-        drawn = [f(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(DRAWS * step + i))) for i in range(DRAWS) for f in (F.min_by, F.max_by)]
-        several = placed.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.array(*drawn).alias("c")).where("l0 != l1").select("band", "c")
-        others = F.filter(F.array_distinct("c"), lambda c: c["label"] != F.col("label"))
-        met = placed.join(several, "band").select("node", F.explode(others).alias("c"))
-        found = confirmed(met.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct(), f"links-{step}")
+        drawn = F.min_by(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(step))).alias("c")
+        several = placed.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), drawn).where("l0 != l1").select("band", "c")
+        others = placed.join(several, "band").where("label != c.label")
+        met = others.groupBy("node").agg(F.min_by("c.node", F.xxhash64("c.node", "node", F.lit(step))).alias("b"))
+        found = confirmed(met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), f"links-{step}")
         if found.isEmpty():
             break
         labels = _merge(labels, found, scratch, f"merge-{step}")
@@ -232,7 +232,7 @@ def link(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: s
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The input's rows and columns, one row of each component; texts without words all stay."""
-    chosen = link(docs, percent).where("chosen").select(F.col("rid").alias("_rid"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    found = docs.withColumn("_rid", row_id()).join(chosen, "_rid")
-    one = found.where("not _empty").dropDuplicates(["_rid"])
-    return one.unionByName(found.where("_empty")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = link(docs, percent).where("chosen").select("rid", (F.col("n_shingles") == 0).alias("empty")).distinct()
+    found = docs.select(row_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(chosen, "rid")
+    one = found.where("not empty").groupBy("rid").agg(F.first("row").alias("row")).select("row")
+    return one.union(found.where("empty").select("row")).select("row.*")

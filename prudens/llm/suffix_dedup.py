@@ -182,17 +182,18 @@ def kept_text(raw: bytes, spans) -> str:
 def dedup(docs: DataFrame, scratch: Scratch, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """The input's rows and columns with what is left of each text; ``chars_col``, if there is one, follows."""
     _, spans = repeated_spans(docs, scratch, text_col=text_col, **options)
-    lists = spans.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    rows = docs.withColumn("_rid", row_id(text_col=text_col)).join(lists, "_rid", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
+    lists = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    whole = docs.select(row_id(text_col=text_col).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = whole.join(lists, "rid", "left").select("row", "spans")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def cut(batches):
         for b in batches:
-            columns = list(b.columns[:-1])
-            left = [None if t is None else (t if not spans else kept_text(t.encode(), spans)) for t, spans in zip(columns[at].to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            columns = b.column(0).flatten()
+            left = [None if t is None else (t if not spans else kept_text(t.encode(), spans)) for t, spans in zip(columns[at].to_pylist(), b.column(1).to_pylist())]
             if chars_col in names:
                 k = names.index(chars_col)
-                columns[k] = pa.array([len(t) if spans else n for t, spans, n in zip(left, b.column(b.num_columns - 1).to_pylist(), columns[k].to_pylist())], columns[k].type)
+                columns[k] = pa.array([len(t) if spans else n for t, spans, n in zip(left, b.column(1).to_pylist(), columns[k].to_pylist())], columns[k].type)
             columns[at] = pa.array(left, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -156,7 +156,45 @@ def test_containment(spark, frame, rows):
 
 def test_near_dup_links_that_no_centre_shows(spark):
     """Pages on one template share their buckets and don't link, but for two whose own parts are short."""
-    base = [f"b0{i}" for i in range(104)]  # with these names no draw shows the link
+    base = [f"b0{i}" for i in range(104)]  # with these names hardly a draw shows the link
     rows = [(k, " ".join(base + [f"o{k}x{i}" for i in range(7 if k in (300, 301) else 12)])) for k in range(600)]
     got = {r.doc_id: r.component_id for r in near_dup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: c for i, c in got.items() if i != c} == {301: 300}
+
+
+@pytest.mark.parametrize("each", [1, 40])
+def test_near_dup_repeated_rows_on_both_sides_of_a_link(spark, each):
+    rng = random.Random(6)
+    text = prose(rng, 80)
+    rows = [(1, text)] * each + [(2, text + " tail")] * each + [(3, prose(rng, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.link(docs).drop("rid", "chosen").collect()
+    assert len(got) == 2 * each + 1 and sorted(map(tuple, got)) == sorted(brute.near(rows))
+    assert [r.doc_id for r in near_dup.dedup(docs).orderBy("doc_id").collect()] == [1, 3]
+
+
+@pytest.mark.parametrize("percent,words", [(85, 30), (85, 200), (80, 60)])
+def test_near_dup_recall_at_the_limit(spark, percent, words):
+    """Pairs whose similarity is just what a link needs."""
+    rng = random.Random(words)
+    rows, pairs = [], 0
+    for k in range(150):
+        base = [f"{k}v{rng.randrange(10**6)}" for _ in range(words)]
+        n = words - 4
+        cut = max(c for c in range(n) if 100 * (n - c) >= percent * (n + c))  # as many new shingles at the end as the limit allows
+        other = base[:words - cut] + [f"{k}w{i}" for i in range(cut)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        pairs += 1
+    got = near_dup.link(spark.createDataFrame(rows, "doc_id long, text string"), percent)
+    assert got.where("doc_id % 2 = 1 and component_id = doc_id - 1").count() == pairs
+
+
+def test_columns_named_like_the_operators_own(spark):
+    rng = random.Random(1)
+    shared = prose(rng, 60)
+    docs = spark.createDataFrame([(1, shared + " a", 77, "s", 1), (2, shared + " b", 78, "t", 2), (3, prose(rng, 60), 79, "u", 3)], "doc_id long, text string, _rid int, _spans string, rid int")
+    items = spark.createDataFrame([(1, " ".join(docs.first().text.split()[:20]))], "item_id long, text string")
+    assert sorted(r._rid for r in near_dup.dedup(docs).collect()) in ([77, 79], [77, 78, 79])
+    assert sorted((r._rid, r._spans, r.rid) for r in suffix_dedup.dedup(docs, Scratch(spark, "t")).collect()) == [(77, "s", 1), (78, "t", 2), (79, "u", 3)]
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        assert [(r._rid, r._spans, r.rid) for r in decontaminate.clean(docs, items, broadcast_bytes=limit).collect()] == [(79, "u", 3)]
