@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prudens import config
+from prudens.functions import sqltext
 from prudens.functions.numeric import half_up
 from prudens.functions.reshape import to_long
-from prudens.operators import crosssection, ratios, trends
+from prudens.operators import crosssection, features, ratios, trends
 from suite.fixtures import wide_metrics
 from suite.oracle import fragment, null_sum, r, unpivot, values
 from suite.registry import query
@@ -213,3 +214,31 @@ fragment("breadth", "select period, period_ts, avg(s) as mean_worsen_share, coun
 @query("period_breadth", "X07", f"select period, period_ts, {r('mean_worsen_share')} as mean_worsen_share, n_banks from breadth")
 def _breadth(fx):
     return crosssection.period_breadth(fx.features).withColumn("mean_worsen_share", half_up("mean_worsen_share", 4))
+
+
+# ------------------------------------------------------------- the whole feature table
+EVERY = [c for c in WIDE if c != "ldr"] + list(RATIO_SQL)
+_SUFFIXES = [*features.TRENDS, *features.CROSS]
+fragment("every_long", f"select *, list_position([{', '.join(repr(c) for c in EVERY)}], metric) as ord from (" + unpivot("feat", "bank_id, bank_name, period, period_ts", EVERY) + ")")
+fragment("every_trend", """
+select *, qoq - lag(qoq) over g as accel, (value - roll_mean) / nullif(roll_std, 0) as roll_z, (value - peak) / nullif(peak, 0) * 100 as drawdown from (
+  select *, (f / nullif(lag(f) over g, 0) - 1) * 100 as qoq, (f / nullif(lag(f, 4) over g, 0) - 1) * 100 as yoy from (
+    select *, case when count(value) over g4 >= 2 then avg(value) over g4 end as roll_mean, case when count(value) over g4 >= 2 then stddev_samp(value) over g4 end as roll_std,
+      last_value(value ignore nulls) over gu as f, max(value) over gu as peak
+    from every_long window g4 as (partition by bank_id, metric order by period_ts rows between 3 preceding and current row),
+           gu as (partition by bank_id, metric order by period_ts rows between unbounded preceding and current row))
+  window g as (partition by bank_id, metric order by period_ts))
+window g as (partition by bank_id, metric order by period_ts)""")
+fragment("every_feat", f"""
+select *, case when value is not null then {_RANK} end as pct_rank, value - med as dev_sys_median, (value - med) / nullif(sd, 0) as z_cross from (
+  select *, quantile_cont(value, 0.5) over (partition by period, metric) as med, stddev_samp(value) over (partition by period, metric) as sd from every_trend)""")
+fragment("every_row", "select bank_id, period, list(struct_pack(" + ", ".join(f"{c} := {r(c)}" for c in ("value", *_SUFFIXES)) + ") order by ord) as l from every_feat group by bank_id, period")
+
+
+@query("feature_table", "D25 W01 W02 W03 W04 W05 W06 W07 X01 X02 X03 X06", "select e.bank_id, e.period, " + ", ".join(f"l[{k}].value as {m}, " + ", ".join(f"l[{k}].{x} as {m}__{x}" for x in _SUFFIXES) for k, m in enumerate(EVERY, 1))
+       + f", {r('systemic_stress_index')} as systemic_stress_index, {r('systemic_stress_pct')} as systemic_stress_pct, cast(coalesce(systemic_stress_pct >= 75, false) as int) as high_risk_period_flag from every_row e join sys_stress using (period)")
+def _feature_table(fx):
+    """Every base metric with all its features, a column each."""
+    table, base = features.build_features(fx.view("wide_m"))
+    cols = [x for m in base for x in (m, *[f"{m}__{s}" for s in _SUFFIXES])] + ["systemic_stress_index", "systemic_stress_pct"]
+    return table.selectExpr("bank_id", "period", *[f"{sqltext.half_up(c, 4)} as {c}" for c in cols], "high_risk_period_flag")
