@@ -1,7 +1,7 @@
 """Sources, reshaping and sinks."""
 from __future__ import annotations
 
-import tempfile
+import uuid
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -245,29 +245,45 @@ def _records(fx):
     return panel.records(fx.view("wide_m"), ["bank_id", "period", "absent"], limit=5000)[1]
 
 
-@query("sink_report_sections", "I22")
+@query("sink_report_sections", "I22", "select 'features' as section, count(*) as n from wide_m union all select 'banks', count(distinct bank_id) from wide_m")
 def _sections(fx):
     """Writes sections and reads their row counts back."""
     from prudens.sources.sinks import write_sections
-    root = (staging_root(fx.spark) or tempfile.mkdtemp()) + f"/sections-{id(fx)}"
+    root = f"{staging_root(fx.spark)}/sections-{uuid.uuid4().hex}"
     w = fx.view("wide_m").select("bank_id", "period", "period_ts", "group2_ratio")
     write_sections({"features": w, "banks": w.select("bank_id").distinct()}, root)
     read = lambda n: fx.spark.read.json(f"{root}/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("section"), "n")
     return read("features").unionByName(read("banks"))
 
 
-@query("sink_upsert", "I23", "select bank_id, period, " + r("case when month(period_ts) = 6 then customer_loans * 2 else customer_loans end") + " as v from wide_m union all select bank_id, 'NEW', 1.0::double from fx_inst")
-def _upsert(fx):
+_UPSERTED = "select bank_id, period, " + r("case when month(period_ts) = 6 then customer_loans * 2 else customer_loans end") + " as v from wide_m union all select bank_id, 'NEW', 1.0::double from fx_inst"
+
+
+def _old_and_new(fx):
     old = fx.view("wide_m").select("bank_id", "period", F.col("customer_loans").alias("v"))
-    new = fx.view("wide_m").where("month(period_ts) = 6").select("bank_id", "period", (F.col("customer_loans") * 2).alias("v")).unionByName(
+    return old, fx.view("wide_m").where("month(period_ts) = 6").select("bank_id", "period", (F.col("customer_loans") * 2).alias("v")).unionByName(
         fx.inst.select("bank_id", F.lit("NEW").alias("period"), F.lit(1.0).alias("v")))
-    return panel.upsert(old, new, ["bank_id", "period"]).withColumn("v", half_up("v", 4))
 
 
-@query("sink_append_log", "I24")
+@query("sink_upsert", "I23", _UPSERTED)
+def _upsert(fx):
+    return panel.upsert(*_old_and_new(fx), ["bank_id", "period"]).withColumn("v", half_up("v", 4))
+
+
+@query("sink_upsert_versions", "I23", _UPSERTED)
+def _upsert_versions(fx):
+    """The same through a stored table: first version, then the merge as the second."""
+    from prudens.sources.sinks import upsert_table
+    root = f"{staging_root(fx.spark)}/table-{uuid.uuid4().hex}"
+    old, new = _old_and_new(fx)
+    upsert_table(fx.spark, old, root, ["bank_id", "period"])
+    return upsert_table(fx.spark, new, root, ["bank_id", "period"]).withColumn("v", half_up("v", 4))
+
+
+@query("sink_append_log", "I24", "select label, 2 * count(*) as n from fx_feedback group by label")
 def _append(fx):
     from prudens.sources.sinks import append_log
-    path = (staging_root(fx.spark) or tempfile.mkdtemp()) + f"/log-{id(fx)}"
+    path = f"{staging_root(fx.spark)}/log-{uuid.uuid4().hex}"
     append_log(fx.view("fx_feedback"), path)
     append_log(fx.view("fx_feedback"), path)
     return fx.spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
