@@ -8,10 +8,12 @@ its share of the first is how far a prediction stops there. Mixing over all dept
 
 How it is spread: texts are packed into blocks of a bucket (BUCKET bytes at most) that also lists the bucket's
 distinct words and byte contexts with their counts, so what is gathered grows with the corpus. Counts are
-summed by key. Trees are worked out per last two context bytes; a group holds different contexts only, so
-DEPTH bounds it and not the corpus. Nodes go to SLOTS places by hash; the one seen most often has the place,
-which bounds the broadcast. A context without a place predicts as the next shorter one. Word counts return
-to the buckets that asked for them, and meet their blocks in one co-group.
+summed by key. Depths 3 and deeper are worked out in groups of whole three-byte contexts (GROUP keys on
+average, one step of the eight at a time); what a group adds to depths 2, 1 and 0 is summed by key. No node is
+dropped. What each depth leaves to the next goes down the same way: depths 0 and 1 are a broadcast of 65,536
+places, depth 2 joins by key. Every distinct byte in its context so gets one logarithm. These and the word
+counts return to the buckets that asked for them, and meet their blocks in one co-group. A byte whose context
+was never learnt from predicts as the longest part of the context that was.
 
 Defined cases: null texts count as empty (one token, the end); a null doc_id is not held out and is learnt
 from; repeated rows are learnt and scored each; an empty table gives an empty result; without any training
@@ -27,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prudens.llm.common import LOWER, SPACE, U64, Scratch, batch, mix, word_hashes, word_spans
+from prudens.llm.common import LOWER, SPACE, U64, Scratch, batch, word_hashes, word_spans
 
 DEPTH = 5
-SLOTS = 1 << 21
+#: Depth from which a group of whole contexts of that many bytes works out its nodes by itself.
+SPLIT = 3
+GROUP = 250_000
 BUCKET, BLOCK = 24_000_000, 2_000_000
 FOLDS, HELD = 10, 0
 END = 10
@@ -100,84 +104,74 @@ def ln_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _ln_gamma(zeros + 0.5) + _ln_gamma(ones + 0.5) - _ln_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def binary_nodes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, zeros, ones): a node is the context above its low byte, which holds 1 and the bits so far."""
-    byte, context = keys & U64(255), keys >> U64(8) << U64(8)
-    node = np.concatenate([context | U64(1 << j) | (byte >> U64(8 - j)) for j in range(8)])
-    one = np.concatenate([(byte >> U64(7 - j)) & U64(1) for j in range(8)]).astype(np.float64)
-    weight = np.tile(n.astype(np.float64), 8)
-    order = np.argsort(node, kind="stable")
-    node, one, weight = node[order], one[order], weight[order]
-    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-    ones = np.add.reduceat(one * weight, first)
-    return node[first], np.add.reduceat(weight, first) - ones, ones
-
-
-def weigh(node, zeros, ones, children: tuple[np.ndarray, np.ndarray] | None, depth: int):
-    """(ln of the weighted probability, share of the node's own estimate); children: (node, ln weighted) one deeper."""
-    own = ln_kt(zeros, ones)
-    if children is None:
-        return own, np.ones(len(node))
-    above = children[0] & U64((1 << 8 * (depth + 1)) - 1)
-    total = np.zeros(len(node))
-    np.add.at(total, np.searchsorted(node, above), children[1])
-    ln_w = np.logaddexp(own, total) - np.log(2)
+def mixture(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ln of the weighted probability, share of the node's own estimate in it)."""
+    ln_w = np.logaddexp(own, children) - np.log(2)
     return ln_w, np.exp(own - np.log(2) - ln_w)
 
 
-def trees(keys: np.ndarray, n: np.ndarray, depth: int, top: int = 2):
-    """Yields (d, node, zeros, ones, ln weighted, share) from the deepest level up to ``top``."""
-    children = None
-    for d in range(depth, top - 1, -1):
-        some, m = counted(keys & U64((1 << 8 * (d + 1)) - 1), n)
-        node, zeros, ones = binary_nodes(some, m)
-        ln_w, share = weigh(node, zeros, ones, children, d)
-        yield d, node, zeros, ones, ln_w, share
-        children = (node, ln_w)
-
-
-def slots(d: int, node: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(node + U64((d + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return (h & U64(size - 1)).astype(np.int64), ((h >> U64(40)) & U64(0xFFFF)).astype(np.int32)
-
+def rungs(keys: np.ndarray, n: np.ndarray, j: int, depth: int, top: int = SPLIT):
+    """Yields (node, back, zeros, ones, ln weighted, share) of step ``j`` from the deepest level up to ``top``.
 
-class Model:
-    """Estimates and shares of all nodes: depths 0 and 1 in full, deeper ones by slot."""
-
-    def __init__(self, depth: int, size: int):
-        self.depth, self.size = depth, size
-        self.top = [(np.full(1 << 8 * (d + 1), np.nan, np.float32), np.ones(1 << 8 * (d + 1), np.float32)) for d in (0, 1)]
-        self.tag, self.p, self.share = np.full(size, -1, np.int32), np.zeros(size, np.float32), np.ones(size, np.float32)
-
-    def _look(self, d: int, node: np.ndarray):
-        if d < 2:
-            p, share = self.top[d]
-            at = node.astype(np.int64)
-            return p[at], share[at], ~np.isnan(p[at])
-        at, tag = slots(d, node, self.size)
-        return self.p[at], self.share[at], self.tag[at] == tag
-
-    def ln(self, keys: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each byte's probability in its context."""
-        byte, total = keys & U64(255), np.zeros(len(keys))
-        for j in range(8):
-            prefix = U64(1 << j) | (byte >> U64(8 - j))
-            mixed, rest, last, alive = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5), np.ones(len(keys), bool)
-            for d in range(self.depth + 1):
-                p, share, known = self._look(d, (keys >> U64(8) << U64(8) & U64((1 << 8 * (d + 1)) - 1)) | prefix)
-                alive &= known
-                last = np.where(alive, p, last)
-                part = np.where(alive, share if d < self.depth else 1.0, 0.0) * rest
-                mixed += part * np.where(alive, p, 0.0)
-                rest -= part
-            one = mixed + rest * last
-            total += np.log(np.where((byte >> U64(7 - j)) & U64(1) == 1, one, 1 - one))
-        return total
+    A node is a context above a low byte, which holds 1 and the bits so far. ``back`` has the node of each row
+    of the level below (of each key at first). Keys with n = 0 have nodes too; these change no other node.
+    """
+    byte = keys & U64(255)
+    one = (byte >> U64(7 - j)) & U64(1)
+    below, zeros, ones = keys >> U64(8) << U64(8) | U64(1 << j) | (byte >> U64(8 - j)), n * (one == 0), n * (one == 1)
+    ln_w = None
+    for d in range(depth, top - 1, -1):
+        node, back = np.unique(below & U64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        zeros, ones = np.bincount(back, zeros, len(node)), np.bincount(back, ones, len(node))
+        own = ln_kt(zeros, ones)
+        ln_w, share = (own, np.ones(len(node))) if ln_w is None else mixture(own, np.bincount(back, ln_w, len(node)))
+        yield node, back, zeros, ones, ln_w, share
+        below = node
+
+
+def step(state, zeros, ones, share):
+    """(mixed so far, weight left, deepest estimate) one level deeper; a node that saw nothing leaves them as they are."""
+    mixed, rest, last = state
+    seen, p = zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1)
+    part = np.where(seen, share * rest, 0.0)
+    return mixed + part * p, rest - part, np.where(seen, p, last)
+
+
+def crown(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> np.ndarray:
+    """What depths 0 and 1 leave to each node of depth 1: rows mixed, rest, last; columns by node. 65,280 nodes at most."""
+    ln_w, share = mixture(ln_kt(zeros, ones), children)
+    root, back = np.unique(node & U64(255), return_inverse=True)
+    z, o, c = (np.bincount(back, x, len(root)) for x in (zeros, ones, ln_w))
+    _, s = mixture(ln_kt(z, o), c)
+    none = np.zeros(len(root)), np.ones(len(root)), np.full(len(root), 0.5)
+    state = step([x[back] for x in step(none, z, o, s)], zeros, ones, share)
+    out = np.zeros((3, 1 << 16))
+    out[:, node.astype(np.int64)] = state
+    return out
+
+
+def ln_bytes(keys: np.ndarray, n: np.ndarray, depth: int, start) -> np.ndarray:
+    """Natural logarithm of each key's byte in its context; ``start(node)``: what the levels above SPLIT leave to those of SPLIT."""
+    total = np.zeros(len(keys))
+    for j in range(8):
+        levels = list(rungs(keys, n, j, depth))
+        node, _, zeros, ones, _, share = levels[-1]
+        state = step(start(node), zeros, ones, share)
+        for k in range(len(levels) - 2, -1, -1):
+            _, _, zeros, ones, _, share = levels[k]
+            back = levels[k + 1][1]
+            state = step([x[back] for x in state], zeros, ones, share)
+        mixed, rest, last = (x[levels[0][1]] for x in state)
+        one = mixed + rest * last
+        total += np.log(np.where((keys >> U64(7 - j)) & U64(1) == 1, one, 1 - one))
+    return total
 
 
 # ---------------------------------------------------------------- the job
 _STAGED = pa.schema([("p", pa.int64()), ("kind", pa.int8()), ("block", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
-_NODES = pa.schema([("d", pa.int32()), ("node", pa.int64()), ("slot", pa.int64()), ("n", pa.float64()), ("tag", pa.int32()), ("p", pa.float32()), ("share", pa.float32()), ("zeros", pa.float64()), ("ones", pa.float64()), ("ln_w", pa.float64())])
+_NODES = pa.schema([("node", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("ln_w", pa.float64())])
+_STATE = pa.schema([("above", pa.int64()), ("mixed", pa.float64()), ("rest", pa.float64()), ("last", pa.float64())])
+_LN = pa.schema([("key", pa.int64()), ("ln", pa.float64())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
@@ -218,8 +212,11 @@ def _gather(depth: int):
                 words.append((w, n * weight))
             words.append((np.array([_END_WORD]), np.array([int(learn.sum())])))
             starts = np.concatenate(([0], ends[:-1]))
-            grams.append(counted(contexts(stream, ends, depth)[np.repeat(learn, ends - starts)]))
-            if len(grams) > 4:
+            keys, taught = contexts(stream, ends, depth), np.repeat(learn, ends - starts)
+            for mask, weight in ((taught, 1), (~taught, 0)):
+                k, n = counted(keys[mask])
+                grams.append((k, n * weight))
+            if len(grams) > 8:
                 grams[:] = [counted(*(np.concatenate(x) for x in zip(*grams)))]
             return batch(_STAGED, p=[p], kind=[0], block=[_pack(ids, texts)], key=[None], n=[None])
 
@@ -245,69 +242,97 @@ def _gather(depth: int):
     return run
 
 
-def _grow(depth: int, size: int):
+def _column(table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy(zero_copy_only=False)
+
+
+def _unsigned(table, name: str) -> np.ndarray:
+    return _column(table, name).astype(np.int64).view(U64)
+
+
+def _up(depth: int):
+    """A group's nodes of depth SPLIT."""
     def run(table: pa.Table) -> pa.Table:
-        keys, n = table.column("key").to_numpy().astype(np.int64).view(U64), table.column("n").to_numpy()
-        order = np.argsort(keys)
-        out = []
-        for d, node, zeros, ones, ln_w, share in trees(keys[order], n[order], depth):
-            slot, tag = slots(d, node, size)
-            out.append(batch(_NODES, d=np.full(len(node), d, np.int32), node=node.view(np.int64), slot=slot, n=zeros + ones, tag=tag, p=((ones + 0.5) / (zeros + ones + 1)).astype(np.float32),
-                             share=share.astype(np.float32), zeros=zeros, ones=ones, ln_w=ln_w))
+        keys, n, out = _unsigned(table, "key"), _column(table, "n").astype(np.float64), []
+        for j in range(8):
+            *_, (node, _, zeros, ones, ln_w, _) = rungs(keys, n, j, depth)
+            out.append(batch(_NODES, node=node.view(np.int64), zeros=zeros, ones=ones, ln_w=ln_w))
         return pa.Table.from_batches(out, _NODES)
     return run
 
 
-def _top(rows: pa.Table, model: Model) -> None:
-    """Depths 1 and 0 from the sums of their children; at most 65,280 rows."""
-    node = rows.column("node").to_numpy().astype(np.int64).view(U64)
-    order = np.argsort(node)
-    node, zeros, ones, total = node[order], *(rows.column(c).to_numpy()[order] for c in ("zeros", "ones", "ln_w"))
-    for d in (1, 0):
-        own = ln_kt(zeros, ones)
-        ln_w = np.logaddexp(own, total) - np.log(2)
-        p, share = model.top[d]
-        p[node.astype(np.int64)], share[node.astype(np.int64)] = (ones + 0.5) / (zeros + ones + 1), np.exp(own - np.log(2) - ln_w)
-        above = node & U64(255)
-        node, back = np.unique(above, return_inverse=True)
-        zeros, ones, total = (np.bincount(back, x, len(node)) for x in (zeros, ones, ln_w))
-
-
-def learn(contexts_: DataFrame, depth: int, size: int, scratch: Scratch) -> Model:
-    """The model of (key, n) context counts."""
-    model = Model(depth, size)
-    nodes = scratch.write(contexts_.withColumn("last", F.col("key").bitwiseAND(F.lit(0xFFFF00))).groupBy("last").applyInArrow(
-        _grow(depth, size), "d int, node long, slot long, n double, tag int, p float, share float, zeros double, ones double, ln_w double"), "nodes")
-    top = nodes.where("d = 2").groupBy(F.col("node").bitwiseAND(F.lit(0xFFFF)).alias("node")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "ln_w")]).toArrow()
-    if top.num_rows:
-        _top(top, model)
-    best = nodes.groupBy("slot").agg(F.max(F.struct("n", "tag", "p", "share")).alias("b")).select("slot", "b.tag", "b.p", "b.share").toArrow()  # SLOTS rows at most
-    at = best.column("slot").to_numpy()
-    model.tag[at], model.p[at], model.share[at] = (best.column(c).to_numpy() for c in ("tag", "p", "share"))
-    return model
-
-
-def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, size: int = SLOTS) -> DataFrame:
+def _weighted(batches):
+    """Nodes of depth 2, whose ln_w is still the sum of their children's, with their own."""
+    for b in batches:
+        zeros, ones = _column(b, "zeros"), _column(b, "ones")
+        yield batch(_NODES, node=_column(b, "node"), zeros=zeros, ones=ones, ln_w=mixture(ln_kt(zeros, ones), _column(b, "ln_w"))[0])
+
+
+def _share(zeros: np.ndarray, ones: np.ndarray, ln_w: np.ndarray) -> np.ndarray:
+    return np.exp(ln_kt(zeros, ones) - np.log(2) - ln_w)
+
+
+def _leave(shared):
+    """What depth 2 leaves to its children, from what depths 0 and 1 leave to it."""
+    def run(batches):
+        for b in batches:
+            node, zeros, ones = _unsigned(b, "node"), _column(b, "zeros"), _column(b, "ones")
+            before = shared.value[:, (node & U64(0xFFFF)).astype(np.int64)]
+            mixed, rest, last = step(before, zeros, ones, _share(zeros, ones, _column(b, "ln_w")))
+            yield batch(_STATE, above=_column(b, "node"), mixed=mixed, rest=rest, last=last)
+    return run
+
+
+def _down(depth: int):
+    """A group's logarithms, from what depth 2 leaves to its nodes of depth SPLIT."""
+    def run(table: pa.Table, states: pa.Table) -> pa.Table:
+        keys, n = _unsigned(table, "key"), _column(table, "n").astype(np.float64)
+        node = _unsigned(states, "node")
+        order = np.argsort(node)
+        node, left = node[order], [_column(states, c)[order] for c in ("mixed", "rest", "last")]
+        ln = ln_bytes(keys, n, depth, lambda at: [x[np.searchsorted(node, at)] for x in left])
+        return pa.Table.from_batches([batch(_LN, key=keys.view(np.int64), ln=ln)], _LN)
+    return run
+
+
+def learn(contexts_: DataFrame, depth: int, scratch: Scratch, group: int = GROUP) -> DataFrame:
+    """(key, ln) of (key, n) context counts: every key's logarithm by the whole tree. ``depth`` is SPLIT at least."""
+    schema = "node long, zeros double, ones double, ln_w double"
+    keys = scratch.write(contexts_, "keys")
+    groups = keys.count() // group + 1
+    of = lambda context: F.pmod(F.xxhash64(context), F.lit(groups))
+    keys = keys.withColumn("part", of(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))))
+    deep = scratch.write(keys.groupBy("part").applyInArrow(_up(depth), schema), "depth3")
+    sums = lambda rows, mask: rows.groupBy(F.col("node").bitwiseAND(F.lit(mask)).alias("node")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "ln_w")])
+    second = scratch.write(sums(deep, 0xFFFFFF).mapInArrow(_weighted, schema), "depth2")
+    first = sums(second, 0xFFFF).toArrow()  # 65,280 rows at most
+    shared = keys.sparkSession.sparkContext.broadcast(crown(_unsigned(first, "node"), *(_column(first, c) for c in ("zeros", "ones", "ln_w"))))
+    left = second.mapInArrow(_leave(shared), "above long, mixed double, rest double, last double")
+    states = deep.select("node", F.col("node").bitwiseAND(F.lit(0xFFFFFF)).alias("above")).join(left, "above").select(
+        of(F.shiftright("node", 8).bitwiseAND(F.lit(0xFFFFFF))).alias("part"), "node", "mixed", "rest", "last")
+    return scratch.write(keys.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(_down(depth), "key long, ln double"), "logarithms")
+
+
+def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; logarithms to base 10."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     staged = scratch.write(rows.mapInArrow(_gather(depth), "p long, kind byte, block binary, key long, n long"), "staged")
-    model = learn(staged.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")), depth, size, scratch)
+    bytes_ = staged.where("kind = 2")
+    logarithms = learn(bytes_.groupBy("key").agg(F.sum("n").alias("n")), depth, scratch, group)
     asked = staged.where("kind = 1").select("p", "key", "n")
     known = scratch.write(asked.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "words", "uncompressed")
     total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     train, floor = total.n, np.log10(total.n + 0.1 * (total.v + 1))
 
-    def rate(blocks: pa.Table, words: pa.Table) -> pa.Table:
-        keys, c = words.column("key").to_numpy().astype(np.int64).view(U64), words.column("c").to_numpy()
-        order = np.argsort(keys)
-        keys, c = keys[order], c[order]
+    def rate(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        every, kind, value = _unsigned(answers, "key"), _column(answers, "kind"), _column(answers, "value")
+        (keys, c), (grams, ln_of) = ((every[m][order], value[m][order]) for m in (kind == 1, kind == 2) for order in [np.argsort(every[m])])
 
         def count(h: np.ndarray) -> np.ndarray:
             if not len(keys):
                 return np.zeros(len(h), np.int64)
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            return np.where(keys[at] == h, c[at], 0)
+            return np.where(keys[at] == h, c[at], 0).astype(np.int64)
 
         end = int(count(np.array([_END_WORD]))[0])
         out = []
@@ -320,13 +345,13 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, size: int = SLO
             n_tokens = np.bincount(doc, minlength=m) + 1
             n_known = np.bincount(doc, (each > 0)[back], m).astype(np.int64) + int(end > 0)
             base = np.bincount(doc, np.log10(each + 0.1)[back] - floor, m) + np.log10(end + 0.1) - floor
-            distinct, where = np.unique(contexts(stream, ends, depth), return_inverse=True)
-            sums = np.concatenate(([0], np.cumsum(shared.value.ln(distinct)[where])))
+            sums = np.concatenate(([0], np.cumsum(ln_of[np.searchsorted(grams, contexts(stream, ends, depth))])))
             starts = np.concatenate(([0], ends[:-1]))
             ln = sums[ends] - sums[starts]
             out.append(batch(_SCORES, doc_id=ids, held_out=[is_held_out(i) for i in ids], n_tokens=n_tokens, n_known=n_known, train_tokens=np.full(m, train, np.int64), base_score=base,
                              score=ln / np.log(10), bits_per_byte=-ln / np.log(2) / (ends - starts)))
         return pa.Table.from_batches(out, _SCORES)
 
-    blocks, answers = staged.where("kind = 0").select("p", "block"), asked.join(known, "key").select(F.col("p").alias("bucket"), "key", "c")
-    return blocks.groupBy("p").cogroup(answers.groupBy("bucket")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    reply = lambda rows, table, kind, value: rows.select("p", "key").join(table, "key").select(F.col("p").alias("bucket"), F.lit(kind).cast("byte").alias("kind"), "key", F.col(value).cast("double").alias("value"))
+    answers = reply(asked, known, 1, "c").unionByName(reply(bytes_, logarithms, 2, "ln"))
+    return staged.where("kind = 0").select("p", "block").groupBy("p").cogroup(answers.groupBy("bucket")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

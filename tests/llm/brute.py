@@ -111,6 +111,51 @@ def tree_ln(counts, context, depth, d=0):
     return m + math.log(.5 * math.exp(own - m) + .5 * math.exp(total - m))
 
 
+def tree_scores(docs, depth):
+    """log10 probability of each document: context-tree mixing by dictionaries over bytes, one bit at a time."""
+    texts = [bytes(depth).replace(b"\0", b"\n") + " ".join(WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))).encode() + b"\n" for _, t in docs]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for (i, _), t in zip(docs, texts):
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            for k in range(depth, len(t)):
+                for j in range(8):
+                    for d in range(depth + 1):
+                        counts[t[k - d:k], 1 << j | t[k] >> (8 - j)][t[k] >> (7 - j) & 1] += 1
+    kids = collections.defaultdict(list)
+    for c, prefix in counts:
+        if c:
+            kids[c[1:], prefix].append((c, prefix))
+    memo = {}
+
+    def own(node):
+        z, o = counts[node]
+        return math.lgamma(z + .5) + math.lgamma(o + .5) - math.lgamma(z + o + 1) - math.log(math.pi)
+
+    def weighted(node):
+        if node not in memo:
+            memo[node] = own(node) if len(node[0]) == depth else max(a := own(node), b := sum(map(weighted, kids[node]))) + math.log1p(math.exp(-abs(a - b))) - math.log(2)
+        return memo[node]
+
+    def one(node):
+        z, o = counts[node]
+        return (o + .5) / (z + o + 1)
+
+    out = []
+    for t in texts:
+        ln = 0.0
+        for k in range(depth, len(t)):
+            for j in range(8):
+                path = [(t[k - d:k], 1 << j | t[k] >> (8 - j)) for d in range(depth + 1)]
+                path = [x for x in path if x in counts]
+                p = one(path[-1]) if path else .5
+                for node in reversed(path[:-1] if len(path) == depth + 1 else path):
+                    share = math.exp(own(node) - math.log(2) - weighted(node))
+                    p = share * one(node) + (1 - share) * p
+                ln += math.log(p if t[k] >> (7 - j) & 1 else 1 - p)
+        out.append(ln / math.log(10))
+    return out
+
+
 def equal_texts(docs):
     groups = collections.defaultdict(list)
     for i, t in docs:

@@ -15,28 +15,14 @@ from prudens.llm.common import Scratch
 KEY = lambda r: tuple((x is None, x) for x in r)
 
 
-def model_of(texts, depth, size=1 << 16):
+def counts_of(texts, depth):
     _, _, stream, ends = C.read([t.encode() for t in texts])
-    keys, n = C.counted(C.contexts(stream, ends, depth))
-    m, top = C.Model(depth, size), collections.defaultdict(lambda: [0.0, 0.0, 0.0])
-    best = np.zeros(size)
-    for d, node, zeros, ones, ln_w, share in C.trees(keys, n, depth):
-        slot, tag = C.slots(d, node, size)
-        for i in range(len(node)):
-            if zeros[i] + ones[i] > best[slot[i]]:
-                best[slot[i]] = zeros[i] + ones[i]
-                m.tag[slot[i]], m.p[slot[i]], m.share[slot[i]] = tag[i], (ones[i] + .5) / (zeros[i] + ones[i] + 1), share[i]
-            if d == 2:
-                for k, v in enumerate((zeros[i], ones[i], ln_w[i])):
-                    top[int(node[i]) & 0xFFFF][k] += v
-    import pyarrow as pa
-    C._top(pa.table({"node": np.array(list(top), np.int64), **{c: np.array([v[k] for v in top.values()]) for k, c in enumerate(("zeros", "ones", "ln_w"))}}), m)
-    return m, keys, n
+    return C.counted(C.contexts(stream, ends, depth))
 
 
 def test_weights_are_those_of_the_tree():
     depth, texts = 3, ["abracadabra cab", "a cab, a bra", "drab crab"]
-    _, keys, n = model_of(texts, depth)
+    keys, n = counts_of(texts, depth)
     stream = [("\n" * depth + " ".join(brute.WORD.findall(t)) + "\n") for t in texts]
     for prefix in (1, 0b10, 0b11, 0b110, 0b1100001):
         bits = prefix.bit_length() - 1
@@ -46,7 +32,8 @@ def test_weights_are_those_of_the_tree():
                 b = ord(s[i])
                 if bits == 0 or (b >> (8 - bits)) | (1 << bits) == prefix:
                     counts[s[i - depth:i]][b >> (7 - bits) & 1] += 1
-        for d, node, zeros, ones, ln_w, _ in C.trees(keys, n, depth, top=0):
+        levels = list(C.rungs(keys, n.astype(float), bits, depth, top=0))
+        for d, (node, _, zeros, ones, ln_w, _) in zip(range(depth, -1, -1), levels):
             for c in {k[len(k) - d:] for k in counts}:
                 want = brute.tree_ln(counts, c, depth, d)
                 at = int.from_bytes(c.encode(), "big") << 8 | prefix
@@ -54,12 +41,16 @@ def test_weights_are_those_of_the_tree():
                 assert node[i] == at and abs(ln_w[i] - want) < 1e-8
 
 
-@pytest.mark.parametrize("size", [1 << 16, 64])
-def test_probabilities_sum_to_one(size):
-    m, _, _ = model_of(["the cat sat on the mat", "the dog"], 4, size)
+@pytest.mark.parametrize("group", [250_000, 3])
+def test_probabilities_sum_to_one(spark, group):
+    """Also with contexts that nothing was learnt from, whatever groups the tree is cut into."""
+    keys, n = counts_of(["the cat sat on the mat", "the dog"], 4)
+    learnt = dict(zip(keys.tolist(), n.tolist()))
     for context in (b"\n\n\n\n", b" the", b"zzzz", b"at o"):
-        keys = np.array([int.from_bytes(context, "big") << 8 | b for b in range(256)], np.uint64)
-        assert abs(np.exp(m.ln(keys)).sum() - 1) < 1e-6
+        asked = {int.from_bytes(context, "big") << 8 | b: 0 for b in range(256)}
+        table = spark.createDataFrame(list((asked | learnt).items()), "key long, n long")
+        got = {r.key: r.ln for r in C.learn(table, 4, Scratch(spark, "t"), group).collect()}
+        assert len(got) == len(asked | learnt) and abs(sum(math.exp(got[k]) for k in asked) - 1) < 1e-9
 
 
 def test_stream_and_contexts():
@@ -87,6 +78,21 @@ def test_scores(spark, frame):
     assert C.score(frame(rows).limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_scores_are_those_of_a_brute_tree(spark, frame):
+    """Every document's score, learnt and held out, against a tree of dictionaries without any cap."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["ab", "Cab", "bra", "dé", "日本", "a", "crab"]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    rows += [(900, None), (901, " \t"), (902, "zq " * 40), (903, "never seen 7!"), (5, "twice"), (5, "twice")]
+    want = brute.tree_scores(rows, 5)
+    for group in (C.GROUP, 50):
+        got = C.score(frame(rows), Scratch(spark, "t"), group=group).collect()
+        assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+        for r in got:
+            assert any(i == r.doc_id and math.isclose(r.score, v, rel_tol=1e-9) for (i, _), v in zip(rows, want))
+    untaught = C.score(frame([r for r in rows if C.is_held_out(r[0])]), Scratch(spark, "t")).collect()
+    assert untaught and all(math.isclose(r.bits_per_byte, 8) and r.train_tokens == 0 and r.base_score == 0 for r in untaught)
+
+
 def test_quality(spark, frame):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["the river", "a quiet town", "of stone", "walked home", "in winter"]) for _ in range(rng.randint(5, 60)))
