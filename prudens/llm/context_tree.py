@@ -352,6 +352,7 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, group: int = GR
                              score=ln / np.log(10), bits_per_byte=-ln / np.log(2) / (ends - starts)))
         return pa.Table.from_batches(out, _SCORES)
 
+    scratch.drop("keys", "depth3", "depth2")  # with the shuffles of the steps so far
     reply = lambda rows, table, kind, value: rows.select("p", "key").join(table, "key").select(F.col("p").alias("bucket"), F.lit(kind).cast("byte").alias("kind"), "key", F.col(value).cast("double").alias("value"))
     answers = reply(asked, known, 1, "c").unionByName(reply(bytes_, logarithms, 2, "ln"))
     return staged.where("kind = 0").select("p", "block").groupBy("p").cogroup(answers.groupBy("bucket")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
