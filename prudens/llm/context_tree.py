@@ -345,7 +345,9 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, group: int = GR
             n_tokens = np.bincount(doc, minlength=m) + 1
             n_known = np.bincount(doc, (each > 0)[back], m).astype(np.int64) + int(end > 0)
             base = np.bincount(doc, np.log10(each + 0.1)[back] - floor, m) + np.log10(end + 0.1) - floor
-            sums = np.concatenate(([0], np.cumsum(ln_of[np.searchsorted(grams, contexts(stream, ends, depth))])))
+            coded = pa.array(contexts(stream, ends, depth)).dictionary_encode()
+            each_ln = ln_of[np.searchsorted(grams, coded.dictionary.to_numpy())]
+            sums = np.concatenate(([0], np.cumsum(each_ln[coded.indices.to_numpy()])))
             starts = np.concatenate(([0], ends[:-1]))
             ln = sums[ends] - sums[starts]
             out.append(batch(_SCORES, doc_id=ids, held_out=[is_held_out(i) for i in ids], n_tokens=n_tokens, n_known=n_known, train_tokens=np.full(m, train, np.int64), base_score=base,
