@@ -13,7 +13,8 @@ average, one step of the eight at a time); what a group adds to depths 2, 1 and
 dropped. What each depth leaves to the next goes down the same way: depths 0 and 1 are a broadcast of 65,536
 places, depth 2 joins by key. Every distinct byte in its context so gets one logarithm. These and the word
 counts return to the buckets that asked for them, and meet their blocks in one co-group. A byte whose context
-was never learnt from predicts as the longest part of the context that was.
+was never learnt from predicts as the longest part of the context that was. A bucket counts its own words
+again; only words that other buckets hold too need an answer.
 
 Defined cases: null texts count as empty (one token, the end); a null doc_id is not held out and is learnt
 from; repeated rows are learnt and scored each; an empty table gives an empty result; without any training
@@ -328,12 +329,24 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, group: int = GR
         every, kind, value = _unsigned(answers, "key"), _column(answers, "kind"), _column(answers, "value")
         (keys, c), (grams, ln_of) = ((every[m][order], value[m][order]) for m in (kind == 1, kind == 2) for order in [np.argsort(every[m])])
 
-        def count(h: np.ndarray) -> np.ndarray:
+        def found(keys: np.ndarray, c: np.ndarray, h: np.ndarray) -> np.ndarray:
             if not len(keys):
-                return np.zeros(len(h), np.int64)
+                return np.full(len(h), -1.0)
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            return np.where(keys[at] == h, c[at], 0).astype(np.int64)
+            return np.where(keys[at] == h, c[at], -1.0)
+
+        def count(h: np.ndarray) -> np.ndarray:
+            """An answer where the corpus has more than the bucket itself, else the bucket's own count."""
+            told, own = found(keys, c, h), found(*local, h)
+            return np.where(told >= 0, told, np.maximum(own, 0)).astype(np.int64)
 
+        held = []
+        for blob in blocks.column("block").to_pylist():
+            ids, texts = _unpack(blob)
+            words, doc, _, _ = read(texts)
+            taught = np.array([not is_held_out(i) for i in ids])
+            held += [counted(words[taught[doc]]), (np.array([_END_WORD]), np.array([int(taught.sum())]))]
+        local = counted(*(np.concatenate(x) for x in zip(*held))) if held else (np.zeros(0, U64), np.zeros(0))
         end = int(count(np.array([_END_WORD]))[0])
         out = []
         for blob in blocks.column("block").to_pylist():
@@ -355,6 +368,6 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, group: int = GR
         return pa.Table.from_batches(out, _SCORES)
 
     scratch.drop("keys", "depth3", "depth2")  # with the shuffles of the steps so far
-    reply = lambda rows, table, kind, value: rows.select("p", "key").join(table, "key").select(F.col("p").alias("bucket"), F.lit(kind).cast("byte").alias("kind"), "key", F.col(value).cast("double").alias("value"))
-    answers = reply(asked, known, 1, "c").unionByName(reply(bytes_, logarithms, 2, "ln"))
+    reply = lambda rows, table, kind, value, told="true": rows.join(table, "key").where(told).select(F.col("p").alias("bucket"), F.lit(kind).cast("byte").alias("kind"), "key", F.col(value).cast("double").alias("value"))
+    answers = reply(asked, known, 1, "c", "c != n").unionByName(reply(bytes_, logarithms, 2, "ln"))
     return staged.where("kind = 0").select("p", "block").groupBy("p").cogroup(answers.groupBy("bucket")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
