@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prudens import config
 from prudens.functions.numeric import half_up
 from prudens.functions.periods import frequency_from_sheet, parse_period, period_string
-from prudens.functions.text import clean_number, normalize_label
+from prudens.functions.text import clean_number, normalize_label, normalize_text
 from prudens.plans.staging import staging_root
 from prudens.sources import files, panel, settings, sheets
 from prudens.sources.aliases import METRIC_ALIASES
@@ -42,22 +42,27 @@ def _bank(fx):
     return f.select("file", b["bank_id"].alias("bank_id"), b["bank_name"].alias("bank_name"))
 
 
-# sheets built from the panel: one wide-by-time sheet per bank
-SHEET_METRICS = {"total_assets": "Tổng tài sản", "customer_loans": "  TỔNG DƯ NỢ CHO VAY   khách hàng (gộp)", "npl_amount": "Tong no xau", "hqla": "Tài sản thanh khoản cao (HQLA)"}
+# sheets built from the panel: one wide-by-time sheet per bank with every mapped label, some in other spellings
+_SPELT = {"Tổng dư nợ cho vay khách hàng (gộp)": "  TỔNG DƯ NỢ CHO VAY   khách hàng (gộp)", "Tổng nợ xấu": "Tong no xau"}
+_MAPPED = {normalize_text(a): m for m, labels in METRIC_ALIASES.items() for a in labels}
+_REPORTED = wide_metrics()
+#: (metric, label, the reported column whose figures stand under the label)
+SHEET_LINES = [(m, _SPELT.get(a, a), m if m in _REPORTED else _REPORTED[i % len(_REPORTED)])
+               for i, (m, a) in enumerate((m, a) for m, labels in METRIC_ALIASES.items() for a in labels) if _MAPPED[normalize_text(a)] == m]
 
 
 def sheet_rows_fixture(fx):
     w = fx.view("wide_m")
     lab = F.concat(F.lit("T"), F.date_format("period_ts", "MM/yyyy"))
-    cells = {m: F.coalesce(F.col(m).cast("string"), F.lit("")) for m in SHEET_METRICS}
+    cells = {m: F.coalesce(F.col(m).cast("string"), F.lit("")) for m in dict.fromkeys(["hqla", *[c for _, _, c in SHEET_LINES]])}
     rows = w.groupBy("bank_id").agg(F.array_sort(F.collect_list(F.struct("period_ts", lab.alias("label"), *[v.alias(m) for m, v in cells.items()]))).alias("s"))
     pick = lambda name: F.transform("s", lambda x: x[name])
     lits = lambda *xs: F.array(*[F.lit(x) for x in xs])
     lines = [(0, lits("Báo cáo giám sát")), (1, F.concat(lits("STT", "Nhóm chỉ tiêu", "Đơn vị", "Khung CAMELS", "Ghi chú"), pick("label")))]
-    for i, (m, label) in enumerate(SHEET_METRICS.items()):
-        lines.append((2 + i, F.concat(lits(str(i + 1), label, "Tỷ đồng", "C", "n/a"), pick(m))))
-    lines.append((7, F.concat(lits("9", "Chỉ tiêu lạ", "%", "", ""), pick("hqla"))))
-    lines.append((8, lits("", "", "", "")))
+    for i, (_, label, column) in enumerate(SHEET_LINES):
+        lines.append((2 + i, F.concat(lits(str(i + 1), label, "Tỷ đồng", "C", "n/a"), pick(column))))
+    lines.append((3 + len(SHEET_LINES), F.concat(lits("9", "Chỉ tiêu lạ", "%", "", ""), pick("hqla"))))
+    lines.append((4 + len(SHEET_LINES), lits("", "", "", "")))
     every = F.array(*[F.struct(F.lit(n).alias("row_no"), c.alias("cells")) for n, c in lines])
     return rows.select(F.concat("bank_id", F.lit("_data.csv")).alias("source_file"), F.lit("Biểu Tháng").alias("sheet_name"), F.explode(every).alias("l")).select(
         "source_file", "sheet_name", "l.row_no", "l.cells")
@@ -67,9 +72,12 @@ def parsed_rows(fx):
     return sheets.sheet_rows(sheet_rows_fixture(fx), settings.alias_table(fx.spark))
 
 
-@query("source_sheet_to_panel", "I03", " union all ".join(
-    f"select bank_id, period, period_ts, 'monthly' as frequency, '{m}' as metric_name, trim('{label}') as metric_label, 'Tỷ đồng' as unit, 'C' as camels_group, {r(m, 2)} as metric_value from wide_m where {m} is not null"
-    for m, label in SHEET_METRICS.items()))
+_CELLS = ", ".join(f"struct_pack(m := '{m}', l := '{label.strip()}', v := cast({column} as double))" for m, label, column in SHEET_LINES)
+
+
+@query("source_sheet_to_panel", "I03", f"""
+select bank_id, period, period_ts, 'monthly' as frequency, c.m as metric_name, c.l as metric_label, 'Tỷ đồng' as unit, 'C' as camels_group, {r('c.v', 2)} as metric_value
+from (select bank_id, period, period_ts, unnest([{_CELLS}]) as c from wide_m) where c.v is not null""")
 def _sheet(fx):
     p = sheets.sheets_to_panel(parsed_rows(fx))
     return p.select("bank_id", "period", "period_ts", "frequency", "metric_name", "metric_label", "unit", "camels_group", half_up("metric_value", 2).alias("metric_value"))

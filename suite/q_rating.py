@@ -106,10 +106,35 @@ def _trees(fx):
     return inputs_frame(fx).select("object_id", "period", *[half_up(rating.compile_formula(t, get), 4).alias(n) for n, (t, _) in _TREES.items()])
 
 
-@query("rating_metric_fallback", "G05", f"select bank_id as object_id, period, {r('car_solo')} as v11, {r('floor(nullif(npl_amount, 0) / customer_loans * 100 * 10000 + 0.5) / 10000')} as v21, cast(null as double) as v31, {r('floor(customer_loans / deposits * 100 * 10000 + 0.5) / 10000')} as v53 from wide_m")
+# every label of every code, reported by some banks, zero at others, missing at the rest
+_LABELS = sorted({n.lstrip("?") for labels, parts, below in rating.METRIC_FALLBACK.values() for names in (labels, *parts, below) for n in names})
+_FIGURES = ["customer_loans", "deposits", "equity", "rwa", "npl_amount", "total_assets", "car_solo"]
+_REPORT = {n: f"case when ({_K} + {i}) % 7 = 0 then 0.0 when ({_K} + {i}) % 3 <> 0 then {_FIGURES[i % len(_FIGURES)]} end" for i, n in enumerate(_LABELS)}
+_CODES = [*rating.METRIC_FALLBACK, "1.1.a", "9.9"]
+
+
+def _first_sql(names):
+    return "coalesce(" + ", ".join([*[f"nullif(cast({_REPORT[n]} as double), 0)" for n in names[:-1]], f"cast({_REPORT[names[-1]]} as double)"]) + ")" if names else "cast(null as double)"
+
+
+def _fallback_sql(code):
+    """A code's own labels, else what its parts come to against its divisor, in percent."""
+    if code == "9.9":
+        return "cast(null as double)"
+    labels, parts, below = rating.METRIC_FALLBACK[code.removesuffix(".a")]
+    if not parts:
+        return _first_sql(labels)
+    terms = [f"coalesce(cast({_REPORT[p[0][1:]]} as double), 0)" if p[0][0] == "?" else _first_sql(p) for p in parts]
+    top = {"6.2": f"abs({' - '.join(terms)})", "5.1": f"case when {' + '.join(terms)} > 0 then {' + '.join(terms)} end"}.get(code, " + ".join(terms))
+    return f"coalesce({_first_sql(labels)}, (select floor(q * 10000 + 0.5) / 10000 from (select ({top}) / case when d > 0 then d end * 100 as q from (select {_first_sql(below)} as d))))"
+
+
+@query("rating_metric_fallback", "G05", "select object_id, period, " + ", ".join(f"{r(n)} as {n}" for n in ("v" + c.replace(".", "") for c in _CODES)) + " from (select bank_id as object_id, period, "
+       + ", ".join(f"{_fallback_sql(c)} as v{c.replace('.', '')}" for c in _CODES) + " from wide_m)")
 def _fallback(fx):
-    i = inputs_frame(fx).withColumn("data", F.expr("map_concat(data, map('TONG_TIEN_GUI', data['TIEN_GUI'], 'DU_NO_CHO_VAY', data['TONG_NO']))"))
-    return i.select("object_id", "period", *[half_up(rating.resolve_metric(c), 4).alias("v" + c.replace(".", "")) for c in ("1.1", "2.1", "3.1", "5.3")])
+    entries = ", ".join(f"'{n}', cast({e} as double)" for n, e in _REPORT.items())
+    i = fx.view("wide_m").selectExpr("bank_id as object_id", "period", f"map({entries}) as data")
+    return i.select("object_id", "period", *[half_up(rating.resolve_metric(c), 4).alias("v" + c.replace(".", "")) for c in _CODES])
 
 
 # ---------------------------------------------------------------- scoring
@@ -150,12 +175,17 @@ def _band(fx):
     return scored(fx).select("object_id", "period", "code", "value", "status", "band_score")
 
 
+_LIMIT = "case when floor({0}) = {0} then cast(cast({0} as bigint) as varchar) else cast({0} as varchar) end"
+
+
 @query("rating_band_explanation", "G07", f"""
-select object_id, period, code, 'value ' || case when floor(value) = value then cast(cast(value as bigint) as varchar) else cast(cast(floor(floor(value * 1000 + 0.5) / 1000) as bigint) as varchar) || ',' || lpad(cast(cast(floor(value * 1000 + 0.5) as bigint) % 1000 as varchar), 3, '0') end
-  || case when low is not null and high is not null then ' > ' || ltxt || ' and <= ' || htxt when high is not null then ' <= ' || htxt else ' > ' || ltxt end || ': ' || cast(cast(score as int) as varchar) || ' points' as explanation
-from (select s.*, b.low, b.high, b.score, cast(cast(b.low as bigint) as varchar) as ltxt, cast(cast(b.high as bigint) as varchar) as htxt from rscore s join rband b on b.code = s.code and b.config_type = s.config_type and (b.low is null or value > b.low) and (b.high is null or value <= b.high)) where code = '5.3'""")
+select object_id, period, code, 'value ' || case when floor(value) = value then cast(cast(value as bigint) as varchar) else case when value < 0 then '-' else '' end || cast(t // 1000 as varchar) || ',' || lpad(cast(t % 1000 as varchar), 3, '0') end
+  || case when low is not null and high is not null then ' ' || up || ' ' || ltxt || ' and ' || down || ' ' || htxt when high is not null then ' ' || down || ' ' || htxt when low is not null then ' ' || up || ' ' || ltxt else '' end || ': ' || cast(cast(score as int) as varchar) || ' points' as explanation
+from (select s.*, b.low, b.high, b.score, {_LIMIT.format('b.low')} as ltxt, {_LIMIT.format('b.high')} as htxt, case when low_in then '>=' else '>' end as up, case when high_in then '<=' else '<' end as down, cast(floor(abs(value) * 1000 + 0.5) as bigint) as t
+  from rscore s join rband b on b.code = s.code and b.config_type = s.config_type and (low is null or case when low_in then value >= low else value > low end) and (high is null or case when high_in then value <= high else value < high end)
+  where status = 'SCORED' and not qual)""")
 def _explain(fx):
-    return scored(fx).where("code = '5.3' and explanation is not null").select("object_id", "period", "code", "explanation")
+    return scored(fx).where("explanation is not null").select("object_id", "period", "code", "explanation")
 
 
 @query("rating_band_builders", "G08", "select bank_id, period, case when h >= 15 then 5 when h >= 12 then 4 when h >= 8 then 3 when h >= 5 then 2 else 1 end::double as higher, case when l <= 1 then 5 when l <= 1.5 then 4 when l <= 3 then 3 when l <= 5 then 2 else 1 end::double as lower "
