@@ -247,12 +247,12 @@ def band_text(v: Column, score: Column) -> Column:
 # ------------------------------------------------------------------ scoring
 def applicable_criteria(inputs: DataFrame, criteria: list[Criterion]) -> DataFrame:
     """One row per input and criterion that applies: value, where it came from, missing variables,
-    and how many variants of the same root apply."""
+    and how many variants of the same root apply. ``_direct`` carries directly given qualitative scores."""
     numbered = list(enumerate(criteria))
     quant = [(i, c) for i, c in numbered if c.formula]
     names = {i: sorted({*_variables(c.formula), *[n for n, _ in c.variables]}) for i, c in quant}
     # one projection per step: each value is computed once and referenced by name afterwards
-    df = inputs.select(*KEY, "type_code", "data", *[applies(c.condition).alias(f"_a{i}") for i, c in numbered],
+    df = inputs.select(*KEY, "type_code", "data", F.map_filter("data", lambda k, v: k.endswith("_DT")).alias("_direct"), *[applies(c.condition).alias(f"_a{i}") for i, c in numbered],
                        *[resolve_metric(c.code).alias(f"_fb{i}") for i, c in quant])
     df = df.select(*[c for c in df.columns if c != "data"], *[F.coalesce(F.try_element_at("data", F.lit(n)), F.col(f"_fb{i}")).alias(f"_v{i}_{j}")
                                                               for i, _ in quant for j, n in enumerate(names[i])])
@@ -269,7 +269,7 @@ def applicable_criteria(inputs: DataFrame, criteria: list[Criterion]) -> DataFra
         variants = " + ".join(f"int(_a{j})" for j, other in numbered if other.root == c.root)
         cells.append(f"if(_a{i}, struct('{c.code}' as code, '{c.root}' as root, '{c.group}' as `group`, {str(c.formula is None).lower()} as qualitative, "
                      f"{value} as value, {source} as value_source, {missing} as missing, {variants} as n_variants), null)")
-    return df.selectExpr(*KEY, "type_code", f"explode(array_compact(array({', '.join(cells)}))) as _c").select(*KEY, "type_code", "_c.*")
+    return df.selectExpr(*KEY, "type_code", "_direct", f"explode(array_compact(array({', '.join(cells)}))) as _c").select(*KEY, "type_code", "_direct", "_c.*")
 
 
 def _variables(node: dict) -> set[str]:
@@ -327,8 +327,6 @@ def score_criteria(inputs: DataFrame, criteria: list[Criterion], violations: Dat
         rows = rows.join(q, [*KEY, "group"], "left")
     else:
         rows = rows.withColumn("_q", F.lit(None).cast("double"))
-    direct = inputs.select(*KEY, F.map_filter("data", lambda k, v: k.endswith("_DT")).alias("_direct"))
-    rows = rows.join(direct, KEY, "left")
     qualitative = F.coalesce("_q", F.try_element_at("_direct", F.concat("group", F.lit("_DT"))), F.lit(5.0))
     n = F.size("_hit")
     status = (F.when(F.col("n_variants") > 1, "VARIANT_CONFLICT").when(F.col("weight").isNull(), "NOT_APPLICABLE")
