@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from prudens.functions.numeric import half_up
 from prudens.operators import rating
+from prudens.plans.rating_run import run_rating
 from prudens.plans.staging import stage
 from prudens.operators.rating import Criterion, higher_is_better, lower_is_better
 from suite.oracle import fragment, r, values
@@ -415,3 +416,63 @@ def _gc(fx):
 @query("rating_history", "G26", f"select object_id, period, total_score, lag(total_score) over w as previous, {r('total_score - lag(total_score) over w', 2)} as change from rtotal window w as (partition by object_id order by period)")
 def _hist(fx):
     return rating.score_history(rating.totals(groups_frame(fx))).drop("grade")
+
+
+# ---------------------------------------------------------------- a whole run
+_VERSION = "case when month(period_ts) = 4 then 1 else 2 end"
+
+
+def versions_frame(fx):
+    """Three versions of each input: the third pending, the second withdrawn every April; some banks have no approved one."""
+    current = fx.view("wide_m").selectExpr("bank_id as object_id", "period", f"{_VERSION} as good",
+                                           f"map_from_entries(filter(array(struct('{CAR_LABEL}' as key, floor(car_solo * 1000 + 0.5D) / 1000D * if({_K} % 10 = 0, 0.3D, 1D) as value)), e -> e.value is not null)) as car")
+    i = inputs_frame(fx).drop("version").join(current, ["object_id", "period"])
+    data = f"map_concat(map_filter(data, (k, v) -> k <> '{CAR_LABEL}'), car)"
+    k = _K.replace("bank_id", "object_id")
+    return i.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).selectExpr(
+        "object_id", "period", "version", f"if(version = 3 or {k} % 11 = 5, 'CHO_DUYET', 'DA_PHE_DUYET') as status", "if(version = 2 and good = 1, 0, 1) as is_active",
+        "if(version = good, type_code, 'OLD') as type_code", "if(version = good, map('quy_mo', attributes['quy_mo']), map()) as attributes",
+        f"if(version = good, {data}, map()) as data")
+
+
+def objects_frame(fx):
+    return fx.view("wide_m").select("bank_id").distinct().selectExpr("bank_id as object_id", "'OBJECT' as type_code", f"map('tt41', if({_K} % 3 <> 0, 'true', 'false'), 'quy_mo', '99') as attributes")
+
+
+def whole_run(fx):
+    losses = fx.view("wide_m").selectExpr("bank_id as object_id", "period", "profit_before_tax * 40 as retained", "charter_capital as capital")
+    return run_rating(versions_frame(fx), objects_frame(fx), CRITERIA, WEIGHTS, violations_frame(fx), losses)
+
+
+fragment("runbad", f"""
+select object_id, period, case when not ok then 'NO_APPROVED_INPUT' else first.status end as error, case when ok then first.code end as code, case when ok then n else 0 end as n_errors, case when ok then coalesce(gaps, '') end as missing from (
+  select object_id, period, {_K.replace("bank_id", "object_id")} % 11 <> 5 as ok, min(struct_pack(code := code, status := status)) filter (bad) as first, count(*) filter (bad) as n, string_agg(distinct miss, ',' order by miss) filter (bad and miss <> '') as gaps
+  from (select *, status in ('VARIANT_CONFLICT', 'MISSING_INPUT', 'NO_BAND', 'OVERLAPPING_BANDS') as bad from rscore) group by object_id, period)""")
+fragment("rungood", f"select object_id, period, grp, code, status, band_score from rscore semi join (select * from runbad where error is null) using (object_id, period)")
+fragment("runrate", f"""
+select object_id, period, total_score, grade as original_grade, loss_ratio, coalesce(loss_ratio > 50, false) as loss_breach, coalesce(below_8_all or longest >= 6, false) as car_breach, weak as liquidity_advisory,
+  concat_ws('; ', case when loss_ratio > 50 then 'losses above 50% of capital' end, case when below_8_all then 'CAR below 8% in 12 months' end, case when longest >= 6 then 'CAR below 4% in 6 running months' end) as reasons,
+  case when coalesce(loss_ratio > 50, false) or coalesce(below_8_all or longest >= 6, false) then 'E' else grade end as final_grade
+from rtotal semi join rungood using (object_id, period) join (select bank_id as object_id, period, {_VERSION} as version, case when charter_capital <> 0 then case when profit_before_tax >= 0 then 0 else {r('abs(profit_before_tax * 40) / charter_capital * 100', 2)} end end as loss_ratio from wide_m) using (object_id, period)
+left join rcarw using (object_id, period) left join rrun using (object_id, period) left join (select object_id, period, coalesce(bool_or(band_score < 2), false) as weak from rungood where grp = 'L' and code <> 'L_DT' group by object_id, period) using (object_id, period)""")
+
+
+@query("rating_run_results", "G01 G02 G14 G17 G25 G26", f"""
+select r.object_id, r.period, total_score, original_grade, final_grade, loss_ratio, loss_breach, car_breach, loss_breach or car_breach as forced_e, coalesce(liquidity_advisory, false) as liquidity_advisory, reasons,
+  rank() over (partition by r.period order by total_score desc) as rank, rank() over (partition by r.period order by total_score desc) || '/' || count(*) over (partition by r.period) as rank_text,
+  lag(total_score) over w as previous, {r('total_score - lag(total_score) over w', 2)} as change, {_TYPE.replace('bank_id', 'r.object_id')} as type_code, v.version
+from runrate r join (select bank_id as object_id, period, {_VERSION} as version from wide_m) v using (object_id, period) window w as (partition by r.object_id order by r.period)""")
+def _run_results(fx):
+    """Every input from its versions to grade, downgrade, rank and change."""
+    return whole_run(fx).results
+
+
+@query("rating_run_errors", "G11 G24", "select object_id, period, error, code, n_errors, coalesce(missing, '') as missing from runbad where error is not null")
+def _run_errors(fx):
+    """Inputs that could not be rated, and why."""
+    return whole_run(fx).errors.withColumn("missing", F.coalesce("missing", F.lit("")))
+
+
+@query("rating_run_groups", "G13", "select object_id, period, grp as \"group\", quantitative, qualitative, group_score from rgroup semi join rungood using (object_id, period)")
+def _run_groups(fx):
+    return whole_run(fx).groups
