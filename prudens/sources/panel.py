@@ -18,7 +18,7 @@ class SchemaMismatch(ValueError):
     """A flat file without the panel's required columns."""
 
 
-def read_flat_panel(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_flat_panel(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
     """A tidy csv or parquet panel, projected to the panel schema; absent columns become null."""
     reader = spark.read.option("header", "true") if fmt == "csv" else spark.read
     return conform(reader.format(fmt).load(path).select("*", F.col("_metadata.file_name").alias("_f"),
