@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prudens import config
-from prudens.functions.reshape import to_long
+from prudens.functions.tables import literal_table
 from prudens.sources import settings
 
 FINDING_COLS = ["bank_id", "bank_name", "period", "period_ts", "rule_id", "rule_name", "metric", "metric_value",
@@ -39,38 +39,10 @@ def _threshold(lo: Column, hi: Column) -> Column:
     return F.when(hi.isNotNull(), F.concat(F.lit("["), _text(lo), F.lit(", "), _text(hi), F.lit("]"))).otherwise(_text(lo))
 
 
-def _long(features: DataFrame, metrics) -> DataFrame:
-    return to_long(features, IDS, [m for m in sorted(set(metrics)) if m in features.columns])
-
-
 def _finish(df: DataFrame) -> DataFrame:
     return df.select(*FINDING_COLS)
 
 
-def evaluate_flat(features: DataFrame, rules=None) -> DataFrame:
-    """VIOLATION rows of flat rules; DATA_GAP rows where a CRITICAL rule has no value to check."""
-    rules = config.FLAT_RULES if rules is None else rules
-    table = settings.flat_rules(features.sparkSession, rules)
-    long = _long(features, [r[5] for r in rules])
-    prev = None
-    if any(r[6] in TREND_OPS for r in rules):
-        long = long.withColumn("_prev", F.lag("value").over(Window.partitionBy("bank_id", "metric").orderBy("period_ts")))
-        prev = F.col("_prev")
-    v, op = F.col("value"), F.col("operator")
-    joined = long.join(F.broadcast(table), "metric")
-    gap = (F.col("severity") == "CRITICAL") & (op != "missing") & v.isNull()
-    hit = joined.select("*", gap.alias("_gap"), fires(op, v, F.col("lo"), F.col("hi"), prev).alias("_fires")).where("_gap or _fires")
-    kind = F.when(F.col("_gap"), "DATA_GAP").otherwise("VIOLATION")
-    said = F.when(F.col("_gap"), F.concat(F.lit("no value to check: "), F.col("rule_name"))).otherwise(
-        F.concat("metric", F.lit(" "), "operator", F.lit(" "), _threshold(F.col("lo"), F.col("hi"))))
-    return _finish(hit.select(
-        *IDS, "rule_id", "rule_name", "metric", F.when(~F.col("_gap"), v).alias("metric_value"), "operator",
-        _threshold(F.col("lo"), F.col("hi")).alias("threshold"),
-        F.when(F.col("_gap"), "DATA_GAP").otherwise(F.col("severity")).alias("severity"), "status", "risk_domain",
-        "legal_source", "article_reference", kind.alias("finding_type"), said.alias("description"),
-        F.when(F.col("_gap"), "ask for the missing data").otherwise("review the metric and its sources").alias("audit_recommendation")))
-
-
 def tier_struct(v: Column, direction: Column, n1: Column, n2: Column, n3: Column) -> Column:
     """The first tier a value falls in, worst first; tiers exclude one another."""
     out = None
@@ -82,35 +54,84 @@ def tier_struct(v: Column, direction: Column, n1: Column, n2: Column, n3: Column
     return out
 
 
-def evaluate_tiered(features: DataFrame, inst: DataFrame, rules=None, tiers=None) -> DataFrame:
-    """At most one finding per rule and bank-period, on the limits of the bank's type.
+# Rows about a bank itself, as (pseudo-metric, rule, name, severity, finding type).
+ABOUT_BANK = [("#special", "SPECIAL_CONTROL_NO_THRESHOLD", "No thresholds under special control", "INFO", "SPECIAL_CONTROL"),
+              ("#unknown", "INSTITUTION_TYPE_UNKNOWN", "Institution type unknown", "DATA_GAP", "DATA_GAP")]
+SPEC_DDL = ("metric string, rule_id string, rule_name string, severity string, about string, status string, risk_domain string, legal_source string, "
+            "article_reference string, operator string, lo double, hi double, for_type string, direction string, n1 double, n2 double, n3 double")
 
-    Banks under special control are not compared; a type without limits is not evaluated.
+
+def _spec(spark, flat, tiered, tiers, kinds: list[str]) -> DataFrame:
+    """All rules as one small table with ``for_type``: tiered ones for their types, others for every one of ``kinds`` and ''."""
+    about = literal_table(spark, SPEC_DDL, [(m, i, n, s, kind, "ACTIVE", "governance", "QĐ 682/QĐ-TTGSNH4", *[None] * 9) for m, i, n, s, kind in ABOUT_BANK])
+    out = about.unionByName(settings.flat_rules(spark, flat), allowMissingColumns=True) if flat else about
+    out = out.withColumn("for_type", F.explode(F.array(*[F.lit(k) for k in ["", *kinds]])))
+    if tiered:
+        limits = settings.rule_tiers(spark, tiers).withColumnRenamed("type", "for_type")
+        out = out.unionByName(settings.tiered_rules(spark, tiered).join(limits, "rule_id"), allowMissingColumns=True)
+    return out
+
+
+def _evaluate(features: DataFrame, inst: DataFrame | None, flat, tiered, tiers, special=False, unknown=False) -> DataFrame:
+    """Findings of all given rules in one pass: each row of ``features`` meets its bank's type once and is unpivoted once.
+
+    ``inst`` has one row per bank. A bank's past enters by a lag over the wide rows, only where a rule asks for it.
     """
-    spark = features.sparkSession
-    rules = config.TIERED_RULES if rules is None else rules
-    spec = settings.tiered_rules(spark, rules).join(settings.rule_tiers(spark, tiers), "rule_id")
-    typed = inst.where(F.col("type").isNotNull() & ~F.coalesce("special_control", F.lit(False))).select("bank_id", "type")
-    # the type rides along through the unpivot
-    long = to_long(features.join(typed, "bank_id"), [*IDS, "type"],
-                   [m for m in sorted({r[5] for r in rules}) if m in features.columns])
-    v = F.col("value")
-    joined = long.join(F.broadcast(spec), ["metric", "type"])
-    gap = v.isNull() & (F.col("severity") == "CRITICAL")
-    marked = joined.select("*", gap.alias("_gap"),
-                           tier_struct(v, F.col("direction"), F.col("n1"), F.col("n2"), F.col("n3")).alias("_t"))
-    hit = marked.where(F.col("_gap") | F.col("_t").isNotNull())
-    said = F.when(F.col("_gap"), F.concat(F.lit("no value to check: "), F.col("rule_name"))).otherwise(
-        F.concat("metric", F.lit(" beyond "), "_t.tier", F.lit(" for "), "type", F.lit(": "), "_t.action"))
+    has = lambda rules: [m for m in sorted({r[5] for r in rules}) if m in features.columns]
+    trends = set(has([r for r in flat if r[6] in TREND_OPS]))
+    rows = features.select(*IDS, *[F.col(m).cast("double").alias(m) for m in has([*flat, *tiered])])
+    if trends:
+        w = Window.partitionBy("bank_id").orderBy("period_ts")
+        rows = rows.select("*", *[F.lag(m).over(w).alias(f"_prev_{m}") for m in sorted(trends)])
+    if inst is not None:
+        off = F.coalesce("special_control", F.lit(False))
+        who = inst.select("bank_id", F.when(~off, F.col("type")).alias("_type"), off.alias("_special"), (off | F.col("type").isNotNull()).alias("_known"), F.col("reason").alias("_reason"))
+        rows = rows.join(who, "bank_id", "left")
+    else:
+        rows = rows.selectExpr("*", "cast(null as string) as _type", "false as _special", "true as _known", "cast(null as string) as _reason")
+    cell = lambda m, v, p: f"struct('{m}' as metric, cast({v} as double) as value, cast({p} as double) as prev)"
+    cells = [cell(m, f"`{m}`", f"`_prev_{m}`" if m in trends else "null") for m in rows.columns if m in has([*flat, *tiered])]
+    cells += [f"if(coalesce(_special, false), {cell('#special', 'null', 'null')}, null)"] if special else []
+    cells += [f"if(coalesce(_known, false), null, {cell('#unknown', 'null', 'null')})"] if unknown else []
+    if not cells:
+        cells = [f"if(false, {cell('', 'null', 'null')}, null)"]
+    kinds = sorted({k for by_type in (config.RULE_TIERS if tiers is None else tiers).values() for k in by_type}) if tiered else []
+    rows = rows.withColumn("for_type", F.when(F.col("_type").isin(kinds), F.col("_type")).otherwise(""))
+    long = rows.selectExpr(*IDS, "for_type", "_reason", f"explode(array_compact(array({', '.join(cells)}))) as _c").selectExpr(*IDS, "for_type", "_reason", "_c.metric", "_c.value", "_c.prev")
+    met = long.join(F.broadcast(_spec(features.sparkSession, flat, tiered, tiers, kinds)), ["metric", "for_type"])
+    v, op, tiered_row, about = F.col("value"), F.col("operator"), F.col("direction").isNotNull(), F.col("about")
+    gap = v.isNull() & (F.col("severity") == "CRITICAL") & (F.coalesce(op, F.lit("")) != "missing")
+    hit = met.select("*", gap.alias("_gap"), fires(op, v, F.col("lo"), F.col("hi"), F.col("prev")).alias("_fires"),
+                     tier_struct(v, F.col("direction"), F.col("n1"), F.col("n2"), F.col("n3")).alias("_t")).where("_gap or _fires or _t is not null or about is not null")
+    silent, limit = F.col("_gap"), _threshold(F.col("lo"), F.col("hi"))
+    said = (F.when(silent, F.concat(F.lit("no value to check: "), F.col("rule_name")))
+            .when(about == "SPECIAL_CONTROL", F.coalesce("_reason", F.lit("special control")))
+            .when(about.isNotNull(), "no tiered threshold can be applied without an institution type")
+            .when(tiered_row, F.concat("metric", F.lit(" beyond "), "_t.tier", F.lit(" for "), "for_type", F.lit(": "), "_t.action"))
+            .otherwise(F.concat("metric", F.lit(" "), "operator", F.lit(" "), limit)))
     return _finish(hit.select(
-        *IDS, "rule_id", "rule_name", "metric", v.alias("metric_value"),
-        F.when(F.col("_gap"), None).when(F.col("direction") == "lower_riskier", "<").otherwise(">").alias("operator"),
-        F.when(F.col("_gap"), "").otherwise(_text(F.col("_t.limit"))).alias("threshold"),
-        F.when(F.col("_gap"), "DATA_GAP").otherwise(F.col("_t.severity")).alias("severity"), "status", "risk_domain",
+        *IDS, "rule_id", "rule_name", F.when(about.isNull(), F.col("metric")).alias("metric"), v.alias("metric_value"),
+        F.when(~tiered_row, op).when(silent, None).when(F.col("direction") == "lower_riskier", "<").otherwise(">").alias("operator"),
+        F.when(about.isNotNull(), None).when(~tiered_row, limit).when(silent, "").otherwise(_text(F.col("_t.limit"))).alias("threshold"),
+        F.when(silent, "DATA_GAP").when(tiered_row, F.col("_t.severity")).otherwise(F.col("severity")).alias("severity"), "status", "risk_domain",
         "legal_source", "article_reference",
-        F.when(F.col("_gap"), "DATA_GAP").otherwise(F.col("_t.finding_type")).alias("finding_type"),
+        F.when(silent, "DATA_GAP").when(tiered_row, F.col("_t.finding_type")).otherwise(F.coalesce(about, F.lit("VIOLATION"))).alias("finding_type"),
         said.alias("description"),
-        F.when(F.col("_gap"), "ask for the missing data").otherwise("review the metric and its sources").alias("audit_recommendation")))
+        F.when(silent, "ask for the missing data").when(about.isNotNull(), "classify or treat the institution explicitly")
+        .otherwise("review the metric and its sources").alias("audit_recommendation")))
+
+
+def evaluate_flat(features: DataFrame, rules=None) -> DataFrame:
+    """VIOLATION rows of flat rules; DATA_GAP rows where a CRITICAL rule has no value to check."""
+    return _evaluate(features, None, config.FLAT_RULES if rules is None else rules, [], None)
+
+
+def evaluate_tiered(features: DataFrame, inst: DataFrame, rules=None, tiers=None) -> DataFrame:
+    """At most one finding per rule and bank-period, on the limits of the bank's type.
+
+    Banks under special control are not compared; a type without limits is not evaluated.
+    """
+    return _evaluate(features, inst, [], config.TIERED_RULES if rules is None else rules, tiers)
 
 
 def system_gaps(features: DataFrame, flat=None, tiered=None, reported: DataFrame | None = None) -> DataFrame:
@@ -135,42 +156,20 @@ def system_gaps(features: DataFrame, flat=None, tiered=None, reported: DataFrame
         F.lit("ask for the missing data").alias("audit_recommendation")))
 
 
-def _governance(rows: DataFrame, rule_id: str, name: str, severity: str, kind: str, said: Column) -> DataFrame:
-    none = lambda t="string": F.lit(None).cast(t)
-    return _finish(rows.select(
-        *IDS, F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule_name"), none().alias("metric"),
-        none("double").alias("metric_value"), none().alias("operator"), none().alias("threshold"),
-        F.lit(severity).alias("severity"), F.lit("ACTIVE").alias("status"), F.lit("governance").alias("risk_domain"),
-        F.lit("QĐ 682/QĐ-TTGSNH4").alias("legal_source"), none().alias("article_reference"), F.lit(kind).alias("finding_type"),
-        said.alias("description"), F.lit("classify or treat the institution explicitly").alias("audit_recommendation")))
-
-
 def special_control(features: DataFrame, inst: DataFrame) -> DataFrame:
     """One INFO row per period of a bank that no thresholds apply to."""
-    excluded = inst.where("special_control").select("bank_id", "reason")
-    rows = features.select(*IDS).join(excluded, "bank_id")
-    return _governance(rows, "SPECIAL_CONTROL_NO_THRESHOLD", "No thresholds under special control", "INFO",
-                       "SPECIAL_CONTROL", F.coalesce("reason", F.lit("special control")))
+    return _evaluate(features, inst, [], [], None, special=True)
 
 
 def unclassified(features: DataFrame, inst: DataFrame) -> DataFrame:
     """One DATA_GAP row per period of a bank that is neither typed nor excluded."""
-    known = inst.where(F.col("type").isNotNull() | F.coalesce("special_control", F.lit(False))).select("bank_id")
-    rows = features.select(*IDS).join(known, "bank_id", "left_anti")
-    return _governance(rows, "INSTITUTION_TYPE_UNKNOWN", "Institution type unknown", "DATA_GAP", "DATA_GAP",
-                       F.lit("no tiered threshold can be applied without an institution type"))
+    return _evaluate(features, inst, [], [], None, unknown=True)
 
 
 def evaluate_rules(features: DataFrame, inst: DataFrame, flat=None, tiered=None, tiers=None) -> DataFrame:
-    """All findings: exclusions, unclassified banks, flat and tiered rules, system-wide gaps."""
-    parts = [special_control(features, inst), evaluate_flat(features, flat),
-             evaluate_tiered(features, inst, tiered, tiers), system_gaps(features, flat, tiered)]
-    if tiered is None or tiered:
-        parts.append(unclassified(features, inst))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All findings: exclusions, unclassified banks, flat and tiered rules, system-wide gaps; ``features`` is read once."""
+    f, t = config.FLAT_RULES if flat is None else flat, config.TIERED_RULES if tiered is None else tiered
+    return _evaluate(features, inst, f, t, tiers, special=True, unknown=bool(t)).unionByName(system_gaps(features, flat, tiered))
 
 
 def misordered_tiers(spark, rules=None, tiers=None) -> DataFrame:
