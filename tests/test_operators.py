@@ -185,3 +185,15 @@ def test_formula_errors_and_bands(spark):
     assert sorted(r["error"] for r in rating.formula_errors(spark, [bad]).collect()) == ["UNDECLARED_VARIABLE", "WRONG_ARITY"]
     with pytest.raises(rating.FormulaError):
         rating.compile_formula(bad.formula, lambda n: F.lit(1.0))
+
+
+def test_quantiles_by_counting_equal_those_of_sorted_rows(spark, monkeypatch):
+    from prudens.functions import ranks
+    df = spark.range(4000).selectExpr("case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' end as k", "case when id % 17 = 0 then null when id % 5 = 0 then 0D when id % 1001 = 0 then -1e300"
+                                      " when id % 11 = 0 then double('inf') else (hash(id) % 10000) * pow(10D, id % 9 - 4) end as v").union(spark.sql("select 'none', cast(null as double) union all select 'one', 5D"))
+    probs = {"lo": 0.01, "mid": 0.5, "hi": 0.8, "first": 0.0}
+    sort = lambda rows: sorted(map(str, rows))
+    sorted_rows = sort(Positions(df, ["k"], "v").quantiles(probs).collect())
+    monkeypatch.setattr(ranks, "Positions", None)  # no row is range-partitioned
+    for exact in (20_000, 3):
+        assert sort(ranks.group_quantiles(df, ["k"], "v", probs, exact).collect()) == sorted_rows
