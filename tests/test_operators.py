@@ -197,3 +197,20 @@ def test_quantiles_by_counting_equal_those_of_sorted_rows(spark, monkeypatch):
     monkeypatch.setattr(ranks, "Positions", None)  # no row is range-partitioned
     for exact in (20_000, 3):
         assert sort(ranks.group_quantiles(df, ["k"], "v", probs, exact).collect()) == sorted_rows
+
+
+def test_ews_windows_read_each_value_once(spark):
+    series = {"F": [90.0] * 8, "U": [70.0, 71.0, 73.0, 72.0, 76.0, 75.0, 80.0, 88.0]}
+    f = spark.createDataFrame([(b, b, f"2024-{i + 1:02d}", dt.date(2024, i + 1, 1), x) for b, xs in series.items() for i, x in enumerate(xs)], "bank_id string, bank_name string, period string, period_ts date, ldr double")
+    out = ews.metric_signals(f)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regr_slope" not in plan  # a moving frame was evaluated anew for each row and slope
+    last = {r["bank_id"]: r for r in out.where("period = '2024-08'").collect()}
+    assert (last["F"]["trend"], last["F"]["acceleration"], last["F"]["volatility"]) == (0.0, 0.0, 0.0)
+    xs, (_, _, direction, lim, buffer, *_rest) = series["U"][-6:], next(m for m in config.EWS_METRICS if m[0] == "ldr")
+    mean = sum(xs) / 6
+    slope = sum((i - 2.5) * x for i, x in enumerate(xs)) / 17.5
+    sd = (sum((x - mean) ** 2 for x in xs) / 6) ** 0.5
+    if direction == "higher_safer":
+        slope = -slope
+    assert abs(last["U"]["trend"] - min(max(slope * 6 / max(buffer, sd), 0), 1)) < 1e-9
