@@ -214,3 +214,13 @@ def test_ews_windows_read_each_value_once(spark):
     if direction == "higher_safer":
         slope = -slope
     assert abs(last["U"]["trend"] - min(max(slope * 6 / max(buffer, sd), 0), 1)) < 1e-9
+
+
+def test_staged_fixtures_write_only_what_is_read(spark, tmp_path):
+    from suite.fixtures import Fixtures
+    spark.sql("""select cast(id as bigint) as l_orderkey, id % 3 as l_suppkey, cast(id % 7 + 1 as int) as l_linenumber, 10D + id as l_quantity, 1000D + id as l_extendedprice, 0.05D as l_discount, 0.02D as l_tax,
+      'R' as l_returnflag, 'F' as l_linestatus, timestamp_ntz'1995-01-15' as l_shipdate from range(30)""").write.parquet(str(tmp_path / "lineitem.parquet"))
+    fx = Fixtures(spark, str(tmp_path)).staged
+    assert fx.features.count() == 3 and "fx_panel" not in fx._made and fx.staged is fx
+    panel = fx.view("fx_panel")
+    assert panel.count() > 0 and fx.view("fx_panel") is panel and {"wide_m", "fx_panel"} <= set(fx._made)
