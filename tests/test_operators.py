@@ -224,3 +224,15 @@ def test_staged_fixtures_write_only_what_is_read(spark, tmp_path):
     assert fx.features.count() == 3 and "fx_panel" not in fx._made and fx.staged is fx
     panel = fx.view("fx_panel")
     assert panel.count() > 0 and fx.view("fx_panel") is panel and {"wide_m", "fx_panel"} <= set(fx._made)
+
+
+def test_forests_of_a_large_share_score_like_their_written_trees(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(f"B{i % 30:02d}", f"P{i // 30}", anomaly.ONE, [float(v) for v in rng.normal(size=3).round(2)]) for i in range(900)], "bank_id string, period string, `group` string, x array<double>").repartition(3)
+    specs = spark.createDataFrame([(anomaly.ONE, 0, 42, 675, 900), (anomaly.ONE, 1, 43, 900, 900)], anomaly.SPEC_DDL)
+    trees = anomaly.grow_forests(rows, specs, 130).cache()
+    key = lambda r: (r["bank_id"], r["period"], r["forest"])
+    was, now = ({key(r): (r["raw_30"], r["raw_130"]) for r in df.collect()} for df in (anomaly.score_forests(rows, trees, specs, [30, 130]), anomaly.grow_and_score(rows, specs, 130, [30, 130])))
+    trees.unpersist()
+    assert len(was) == 1800 and was.keys() == now.keys()
+    assert all(a == pytest.approx(now[k]) for k, a in was.items())
