@@ -3,9 +3,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from prudens import config
+from prudens.functions.plaintext import plain, slices
 from prudens.functions.text import normalize_label
 
 # Sentence ends, percentage pattern, confidence steps.
@@ -31,14 +36,27 @@ def _first_keyword(norm: Column, field: int) -> Column:
     return out
 
 
+def _keyword_sentences(batches):
+    """(doc_id, page, pos, chunk) of the sentences with a keyword."""
+    for b in batches:
+        doc, page, lists = b.columns
+        chunks, row = lists.flatten(), pc.list_parent_indices(lists)
+        parent = row.to_numpy(zero_copy_only=False)
+        pos = np.arange(len(parent)) - np.searchsorted(parent, parent)
+        for at, n in slices(chunks):
+            hit = at + np.flatnonzero(pc.match_substring_regex(plain(chunks.slice(at, n))[0], _ANY_KEYWORD).to_numpy(zero_copy_only=False))
+            rows = row.take(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([doc.take(rows), page.take(rows), pa.array(pos[hit], pa.int32()), chunks.take(pa.array(hit))], names=["doc_id", "page", "pos", "chunk"])
+
+
 def candidate_limits(pages: DataFrame) -> DataFrame:
     """One row per sentence with a keyword (the first in order wins): metric, threshold, confidence.
 
-    Whole texts are split into sentences on the executors. Each sentence is normalised once, in the
-    array of its page, and only those with a keyword become rows.
+    Whole texts are split into sentences on the executors. Sentences are brought into plain form a
+    batch at a time, and only those with a keyword become rows.
     """
-    sentences = F.transform(F.split("text", SENTENCE_END), lambda c, i: F.struct(i.alias("pos"), c.alias("chunk"), normalize_label(c).alias("_n")))
-    df = pages.select("doc_id", "page", F.inline(F.filter(sentences, lambda s: s["_n"].rlike(_ANY_KEYWORD))))
+    schema = StructType([pages.schema["doc_id"], pages.schema["page"], StructField("pos", IntegerType()), StructField("chunk", StringType())])
+    df = pages.select("doc_id", "page", F.split("text", SENTENCE_END).alias("chunks")).mapInArrow(_keyword_sentences, schema).withColumn("_n", normalize_label(F.col("chunk")))
     threshold = F.replace(F.regexp_extract("chunk", PERCENT, 1), F.lit(","), F.lit(".")).try_cast("double")
     bound = F.lit(False)
     for w in config.LIMIT_BOUND_WORDS:
@@ -52,6 +70,19 @@ def candidate_limits(pages: DataFrame) -> DataFrame:
                      F.when(cents < 80, "REVIEW_REQUIRED").otherwise("CANDIDATE_OK").alias("status"))
 
 
+def _page_marks(batches):
+    """(doc_id, chars, _raw, common, hit) of each page."""
+    for b in batches:
+        doc, text = b.columns
+        for at, n in slices(text):
+            some = text.slice(at, n)
+            forms, raw, chars = plain(some)
+            common = sum((pc.count_substring(forms, w).to_numpy(zero_copy_only=False).astype(np.int64) for w in config.COMMON_LEGAL_WORDS), np.zeros(n, np.int64))
+            none = some.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([doc.slice(at, n), pa.array(chars, mask=none), pa.array(raw, mask=none), pa.array(common), pc.match_substring_regex(forms, _ANY_KEYWORD)],
+                                             names=["doc_id", "chars", "_raw", "common", "hit"])
+
+
 def text_quality(pages: DataFrame) -> DataFrame:
     """Per document: pages, characters, and whether its text reads as real text.
 
@@ -59,10 +90,8 @@ def text_quality(pages: DataFrame) -> DataFrame:
     without text is not garbled. Keyword hits and word counts are taken per page and added, so no
     document is put together.
     """
-    norm = normalize_label(F.col("text"))
-    df = pages.select("doc_id", "page", F.length(_strip(F.col("text"))).alias("chars"), norm.alias("_n"), F.length("text").alias("_raw"))
-    common = sum((F.regexp_count("_n", F.lit(w)) for w in config.COMMON_LEGAL_WORDS), F.lit(0))
-    df = df.select("doc_id", "page", "chars", "_raw", common.alias("common"), F.col("_n").rlike(_ANY_KEYWORD).alias("hit"))
+    schema = StructType([pages.schema["doc_id"], *(StructField(c, LongType()) for c in ("chars", "_raw", "common")), StructField("hit", BooleanType())])
+    df = pages.select("doc_id", "text").mapInArrow(_page_marks, schema)
     per = df.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("chars") > 0).alias("pages_with_text"), F.sum("chars").alias("total_chars"),
         F.sum("_raw").alias("_len"), F.bool_or("hit").alias("_hit"), F.sum("common").alias("_common"))

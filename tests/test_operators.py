@@ -1,10 +1,12 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from prudens import config
+from prudens.functions import plaintext
 from prudens.functions.periods import frequency_from_sheet, parse_period
 from prudens.functions.reshape import to_long
 from prudens.functions.ranks import Positions, average_rank_pct, group_quantiles
@@ -175,6 +177,26 @@ def test_limits_from_text(spark):
         ("car_solo", 8.0, 0.9, "CANDIDATE_OK"), ("npl_ratio", 3.5, 0.75, "REVIEW_REQUIRED")]
 
 
+def test_texts_are_read_in_batches_like_labels(spark, monkeypatch):
+    texts = ["  Tỷ lệ\n\n an  toàn vốn ", "Ty\u0301 le\u0323 an\u00a0toan von", "\u212aha nang; TỶ LỆ\tAN TOÀN VỐN.\u0301 x", "\u3000\u2028 điều. Điều ĐIỀU\x85", "", None, " \n", "ΑΣ İ \x00\x7f \U0001f600\ufe0f é\u0301 \u0301 1",
+             "Ngân hàng. Thông tư;\n\n Nợ xấu 3,5% " + "x" * 60, "gop von, mua co phan 7%;\nnguồn vốn ngắn hạn."]
+    pages = spark.createDataFrame([(i % 4, i, t) for i, t in enumerate(texts)], "doc_id int, page int, text string")
+    labels = [r.n for r in pages.coalesce(1).select(normalize_label(F.col("text")).alias("n")).collect()]
+    for size in (10, 2_000_000):
+        monkeypatch.setattr(plaintext, "SLICE", size)
+        forms, raw, chars = (list(x) for x in zip(*[(f, r, c) for at, n in plaintext.slices(pa.array(texts)) for f, r, c in zip(*(y.tolist() for y in plaintext.plain(pa.array(texts[at:at + n]))))]))
+        assert ["".join(c if c.isascii() and c > "\0" else "\x7f" for c in n) for n in labels] == [f.strip(" ") for f in forms]
+    assert raw == [len(t or "") for t in texts] and chars == [len((t or "").strip()) for t in texts]
+    # sentences and page marks as the expressions on one label give them
+    found = textlimits.candidate_limits(pages).select("doc_id", "page", "pos", "extracted_text").collect()
+    split = pages.select("doc_id", "page", F.posexplode(F.split("text", textlimits.SENTENCE_END)).alias("pos", "c")).where(normalize_label(F.col("c")).rlike(textlimits._ANY_KEYWORD))
+    assert sorted(tuple(r)[:3] for r in found) == sorted(tuple(r)[:3] for r in split.collect()) and len(found) == 4
+    marks = textlimits.text_quality(pages)
+    assert {r.doc_id: (r.n_pages, r.pages_with_text, r.total_chars) for r in marks.collect()} == {
+        d: (len(range(d, 10, 4)), sum(chars[i] > 0 for i in range(d, 10, 4)), sum(chars[d::4])) for d in range(4)}
+    assert "translate(" not in marks._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_institution_types_from_config(spark):
     got = settings.institution_types(spark, {"banks": {"A": {"type": "t"}}, "special_control": [{"bank_id": "S"}]}).orderBy("bank_id").collect()
     assert [(r["bank_id"], r["type"], r["special_control"]) for r in got] == [("A", "t", False), ("S", None, True)]
