@@ -37,6 +37,10 @@ DEPTH = 5
 SPLIT = 3
 GROUP = 250_000
 BUCKET, BLOCK = 24_000_000, 2_000_000
+#: Answers that a task gathers before it seals those of each bucket.
+SEAL = 1_000_000
+#: Of zstandard, for blocks and sealed answers.
+LEVEL = 6
 FOLDS, HELD = 10, 0
 END = 10
 _END_WORD = U64(0x2545F4914F6CDD1D)
@@ -173,13 +177,14 @@ _STAGED = pa.schema([("p", pa.int64()), ("kind", pa.int8()), ("block", pa.binary
 _NODES = pa.schema([("node", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("ln_w", pa.float64())])
 _STATE = pa.schema([("above", pa.int64()), ("mixed", pa.float64()), ("rest", pa.float64()), ("last", pa.float64())])
 _LN = pa.schema([("key", pa.int64()), ("ln", pa.float64())])
+_SEALED = pa.schema([("bucket", pa.int64()), ("kind", pa.int8()), ("n", pa.int32()), ("data", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
 def _pack(ids: list, texts: list[bytes]) -> bytes:
     table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], names=["id", "text"])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as w:
         w.write_batch(table)
     return sink.getvalue().to_pybytes()
 
@@ -296,6 +301,43 @@ def _down(depth: int):
     return run
 
 
+def seal(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys and their values: differences of the keys, bytes of one place together, compressed."""
+    gaps = np.diff(keys, prepend=U64(0))
+    return pa.Codec("zstd", LEVEL).compress(np.stack((gaps, values.view(U64))).view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).tobytes(), asbytes=True)
+
+
+def unseal(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=16 * n, asbytes=True), np.uint8)
+    gaps, values = np.ascontiguousarray(raw.reshape(2, 8, n).transpose(0, 2, 1)).view(U64)[:, :, 0]
+    return np.cumsum(gaps), values.view(np.float64)
+
+
+def _sealed(batches):
+    """(bucket, kind, key, value) answers as one sealed row for each bucket and kind."""
+    held: list[tuple] = []
+
+    def rows():
+        bucket, kind, key, value = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((key, kind, bucket))
+        bucket, kind, key, value = bucket[order], kind[order], key[order], value[order]
+        first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]))))
+        last = np.append(first[1:], len(bucket))
+        return batch(_SEALED, bucket=bucket[first], kind=kind[first], n=last - first, data=[seal(key[a:z], value[a:z]) for a, z in zip(first, last)])
+
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append((_column(b, "bucket"), _column(b, "kind"), _unsigned(b, "key"), _column(b, "value")))
+            size += b.num_rows
+        if size >= SEAL:
+            yield rows()
+            size = 0
+    if held:
+        yield rows()
+
+
 def learn(contexts_: DataFrame, depth: int, scratch: Scratch, group: int = GROUP) -> DataFrame:
     """(key, ln) of (key, n) context counts: every key's logarithm by the whole tree. ``depth`` is SPLIT at least."""
     schema = "node long, zeros double, ones double, ln_w double"
@@ -326,8 +368,11 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, group: int = GR
     train, floor = total.n, np.log10(total.n + 0.1 * (total.v + 1))
 
     def rate(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        every, kind, value = _unsigned(answers, "key"), _column(answers, "kind"), _column(answers, "value")
-        (keys, c), (grams, ln_of) = ((every[m][order], value[m][order]) for m in (kind == 1, kind == 2) for order in [np.argsort(every[m])])
+        told_of: dict[int, list] = {1: [(np.zeros(0, U64), np.zeros(0))], 2: [(np.zeros(0, U64), np.zeros(0))]}
+        for kind, n, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "n", "data"))):
+            told_of[kind].append(unseal(data, n))
+        (keys, c), (grams, ln_of) = ((key[order], value[order]) for parts in told_of.values() for key, value in [[np.concatenate(x) for x in zip(*parts)]] for order in [np.argsort(key)])
+        told_of.clear()
 
         def found(keys: np.ndarray, c: np.ndarray, h: np.ndarray) -> np.ndarray:
             if not len(keys):
@@ -369,5 +414,5 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, group: int = GR
 
     scratch.drop("keys", "depth3", "depth2")  # with the shuffles of the steps so far
     reply = lambda rows, table, kind, value, told="true": rows.join(table, "key").where(told).select(F.col("p").alias("bucket"), F.lit(kind).cast("byte").alias("kind"), "key", F.col(value).cast("double").alias("value"))
-    answers = reply(asked, known, 1, "c", "c != n").unionByName(reply(bytes_, logarithms, 2, "ln"))
+    answers = reply(asked, known, 1, "c", "c != n").unionByName(reply(bytes_, logarithms, 2, "ln")).mapInArrow(_sealed, "bucket long, kind byte, n int, data binary")
     return staged.where("kind = 0").select("p", "block").groupBy("p").cogroup(answers.groupBy("bucket")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -6,6 +6,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prudens.llm import context_tree as C
@@ -59,6 +60,25 @@ def test_stream_and_contexts():
     assert C.contexts(stream, ends, 2).tolist() == [int.from_bytes(k, "big") for k in (b"\n\na", b"\na ", b"a b", b" bc", b"bc ", b"c d", b" d\n", b"\n\n\n", b"\n\n\n", b"\n\nx", b"\nx\n")]
 
 
+def test_replies_are_sealed_without_loss():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 48, 20_000, dtype=np.uint64) | np.uint64(1 << 47))
+    bucket, kind = rng.integers(0, 5, len(keys)), np.where(keys % np.uint64(3) == 0, 1, 2).astype(np.int8)
+    value = np.where(kind == 1, rng.integers(1, 9, len(keys)), np.log(rng.random(len(keys))))
+    order = rng.permutation(len(keys))
+    rows = pa.table({"bucket": bucket, "kind": kind, "key": keys.view(np.int64), "value": value}).take(order)
+    sealed = [r for b in C._sealed(rows.to_batches(max_chunksize=999)) for r in b.to_pylist()]
+    assert len(sealed) == 10 and sum(len(r["data"]) for r in sealed) < 12 * len(keys)
+    assert not list(C._sealed(rows.slice(0, 0).to_batches()))
+    for r in sealed:
+        own = (bucket == r["bucket"]) & (kind == r["kind"])
+        k, v = C.unseal(r["data"], r["n"])
+        assert (k == keys[own]).all() and (v == value[own]).all()
+    assert len(C.unseal(C.seal(keys[:0], value[:0]), 0)[0]) == 0
+    high = np.array([5, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert (C.unseal(C.seal(high, np.zeros(3)), 3)[0] == high).all()
+
+
 def test_ln_gamma():
     x = np.array([.5, 1, 1.5, 2, 17.5, 1e6])
     assert np.allclose(C._ln_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
