@@ -1,12 +1,16 @@
 import csv
+import threading
 
+import numpy as np
 import pytest
 
 from prudens import config
+from prudens.operators import cluster, ratios, rules, scoring
 from prudens.plans import folder_run
 from prudens.plans.folder_run import export_run, load_folder, read_export, run_folder
 from prudens.sources.panel import SchemaMismatch
 from prudens.sources.settings import deep_merge
+from prudens.sources.sinks import write_sections
 
 MODEL = deep_merge(config.MODEL, {"forest": {"n_estimators": 10}, "kmeans": {"k_max": 2, "n_init": 1}})
 LABELS = [("Tổng tài sản", 100000.0), ("Tổng vốn chủ sở hữu", 9000.0), ("Tổng dư nợ cho vay khách hàng (gộp)", 70000.0), ("Tiền gửi của khách hàng", 85000.0),
@@ -84,3 +88,42 @@ def test_absent_frequency_and_faulty_panels(spark, folder, tmp_path, inst):
     empty.mkdir()
     got = load_folder(spark, str(empty), cache)
     assert got.wide == {} and got.base is None and got.panel.count() == 0 and got.files.count() == 0
+
+
+def test_nearest_centres_are_exact():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 6)), np.repeat(rng.normal(size=(3, 6)), 4, 0) + 1e6])
+    # equal centres, centres a rounding apart, and points midway between two
+    centres = np.concatenate([x[:4], x[:2], x[300:301], np.nextafter(x[300:301], np.inf), x[5:6] + 1, x[5:6] - 1])
+    own, low = cluster._nearest(x, centres)
+    far = cluster._gaps(x, centres)
+    assert (own == far.argmin(1)).all() and (low == far.min(1)).all()
+    x[0, 0] = np.nan
+    assert (cluster._nearest(x, centres)[0] == cluster._gaps(x, centres).argmin(1)).all()
+
+
+def test_one_fit_and_one_scoring_pass(spark, wide, inst, monkeypatch):
+    def refit(*a, **k):
+        raise AssertionError("the chosen k was fitted with the board")
+
+    # four banks are clustered with k = 2 or 3
+    monkeypatch.setattr(cluster, "best_fit", refit)
+    labels, _, board = cluster.cluster_banks(wide, ["car_solo", "ldr", "npl_ratio"])
+    assert board.count() == 2 and labels.count() == 4
+    staged = []
+    monkeypatch.setattr(scoring, "stage", lambda df, name: staged.append(name) or df)
+    f = ratios.derive_ratios(wide)
+    scoring.risk_scores(f, rules.evaluate_rules(f, inst), None)
+    assert staged == ["composite"]
+
+
+def test_sections_are_written_side_by_side(tmp_path):
+    both = threading.Barrier(2, timeout=20)
+
+    class Table:
+        """A table whose write ends only when another is being written."""
+        write = property(lambda self: self)
+        mode = format = lambda self, _: self
+        save = lambda self, _: both.wait()
+
+    assert write_sections({"a": Table(), "b": Table()}, f"{tmp_path}", "parquet") == [f"{tmp_path}/a", f"{tmp_path}/b"]
