@@ -258,3 +258,25 @@ def test_forests_of_a_large_share_score_like_their_written_trees(spark):
     trees.unpersist()
     assert len(was) == 1800 and was.keys() == now.keys()
     assert all(a == pytest.approx(now[k]) for k, a in was.items())
+
+
+def test_a_tree_reads_a_column_for_each_node():
+    """The tree is the one that the extremes of all columns give; where the drawn column doesn't vary, the next drawn one is taken."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 9)).round(1)
+    x[:, ::2], x[:90] = np.where(rng.random((700, 5)) < 0.9, 0.5, x[:, ::2]), x[0]
+    limit = 10
+    tree, leaf = anomaly.grow(x, np.arange(700), np.random.default_rng([7, 1]), limit)
+    draw, nodes, at = np.random.default_rng([7, 1]), [np.arange(700)], 0
+    for depth in range(limit):
+        lo, hi = (np.array([f(x[r], axis=0) for r in nodes]) for f in (np.min, np.max))
+        f = (draw.random(lo.shape) * (hi > lo)).argmax(1)
+        a, b = (v[np.arange(len(f)), f] for v in (lo, hi))
+        c, after = np.maximum(a + draw.random(len(f)) * (b - a), np.nextafter(a, np.inf)), []
+        for i, r in enumerate(nodes):
+            assert tree[0][at + i] == (f[i] if b[i] > a[i] else -1) and (tree[0][at + i] < 0 or tree[1][at + i] == c[i])
+            after += [r[x[r, f[i]] < c[i]], r[x[r, f[i]] >= c[i]]] if b[i] > a[i] else []
+        nodes, at = after, at + len(nodes)
+        if not nodes:
+            break
+    assert np.array_equal(tree[4][leaf], anomaly.path_lengths(x, tree))
