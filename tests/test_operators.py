@@ -11,7 +11,7 @@ from prudens.functions.periods import frequency_from_sheet, parse_period
 from prudens.functions.reshape import to_long
 from prudens.functions.ranks import Positions, average_rank_pct, group_quantiles
 from prudens.functions.text import normalize_label
-from prudens.operators import anomaly, asof, crosssection, ews, ratios, rating, redflags, rules, scoring, stress, textlimits, trends, tuning, validation
+from prudens.operators import anomaly, apart, asof, crosssection, ews, ratios, rating, redflags, rules, scoring, stress, textlimits, trends, tuning, validation
 from prudens.sources import settings
 
 ID = "bank_id string, bank_name string, period string, period_ts date"
@@ -280,3 +280,45 @@ def test_a_tree_reads_a_column_for_each_node():
         if not nodes:
             break
     assert np.array_equal(tree[4][leaf], anomaly.path_lengths(x, tree))
+
+
+def test_grid_holds_forests_that_no_task_takes(spark, monkeypatch):
+    """Sample sizes beyond a task's rows were left out of the board."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4)).round(2)
+    x[:, 0], x[:5] = np.where(rng.random(600) < 0.5, 0.0, x[:, 0]), x[:5] * 6
+    wide = spark.createDataFrame([(f"B{i % 30:02d}", "b", f"P{i // 30}", *map(float, v)) for i, v in enumerate(x)], "bank_id string, bank_name string, period string, a double, b double, c double, d double").withColumn("period_ts", F.lit("2024-01-31").cast("date"))
+    space, model = {"n_estimators": [20, 60], "max_samples": ["auto", 0.75], "contamination": [0.02, 0.05]}, config.MODEL | {"winsorize": None}
+    whole = {(r["contamination"], r["n_estimators"], r["max_samples"]): r for r in tuning.tune_forest(wide, list("abcd"), space, model=model)[0].collect()}
+    monkeypatch.setattr(anomaly, "MAX_TREE_SAMPLES", 300)
+    monkeypatch.setattr(apart, "TASK_ROWS", 100)
+    monkeypatch.setattr(apart, "ROUND_ROWS", 600 * 70)
+    board = {(r["contamination"], r["n_estimators"], r["max_samples"]): r for r in tuning.tune_forest(wide, list("abcd"), space, model=model)[0].collect()}
+    assert len(board) == 8 and board.keys() == whole.keys()
+    assert all(abs(r["anomaly_rate_pct"] - whole[k]["anomaly_rate_pct"]) < 0.2 and abs(r["separation"] - whole[k]["separation"]) < 0.6 for k, r in board.items())
+
+
+def test_forests_apart_score_like_those_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 3)).round(2)
+    x[:300] = 0.25  # a leaf of more rows than a task takes
+    rows = spark.createDataFrame([(f"B{i % 30:02d}", f"P{i // 30}", anomaly.ONE, [float(v) for v in p]) for i, p in enumerate(x)], "bank_id string, period string, `group` string, x array<double>").repartition(3).cache()
+    specs = [(anomaly.ONE, 0, 42, 675, 900), (anomaly.ONE, 3, 43, 900, 900)]
+    one = anomaly.grow_and_score(rows, spark.createDataFrame(specs, anomaly.SPEC_DDL), 150, [50, 150])
+    monkeypatch.setattr(apart, "TASK_ROWS", 120)
+    tops = [apart.Top(f, t, s, n, 10) for _, f, s, n, _ in specs for t in range(3)]
+    based = rows.withColumn("base", F.xxhash64("bank_id", "period"))
+    apart.sample_ends(based, tops, 900)
+    base = np.array([r["base"] for r in based.select("base").collect()])
+    assert [int((apart.drawn(base, t.seed, t.tree) <= np.uint64(t.last)).sum()) for t in tops] == [675] * 3 + [900] * 3
+    apart.grow_tops(based, tops, 3)
+    assert all(max(t.feature) >= 0 and t.final and not t.asks for t in tops)
+    monkeypatch.setattr(apart, "ROUND_ROWS", 900 * 80)  # four turns
+    key = lambda r: (r["bank_id"], r["period"], r["forest"])
+    was, now = ({key(r): (r["raw_50"], r["raw_150"]) for r in df.collect()} for df in (one, apart.grow_and_score(rows, specs, 150, [50, 150])))
+    assert len(now) == 1800 and was.keys() == now.keys()
+    keys = list(was)
+    for i in (0, 1):
+        a, b = (np.array([d[k][i] for k in keys]) for d in (was, now))
+        assert np.corrcoef(a, b)[0, 1] > 0.98 and abs(a.mean() - b.mean()) < 0.01
+    rows.unpersist()
