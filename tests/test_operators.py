@@ -322,3 +322,38 @@ def test_forests_apart_score_like_those_of_one_task(spark, monkeypatch):
         a, b = (np.array([d[k][i] for k in keys]) for d in (was, now))
         assert np.corrcoef(a, b)[0, 1] > 0.98 and abs(a.mean() - b.mean()) < 0.01
     rows.unpersist()
+
+
+def test_staged_features_and_monthly_table_are_one_table(spark, tmp_path, monkeypatch):
+    """Both were aggregated from the lines and written; now the monthly table is read from the features, reported ratios included."""
+    from prudens.plans import staging
+    from suite.fixtures import Fixtures
+    spark.sql("""select cast(id as bigint) as l_orderkey, id % 5 as l_suppkey, cast(id % 7 + 1 as int) as l_linenumber, 10D + id as l_quantity, 1000D + id * id as l_extendedprice, 0.05D as l_discount, 0.02D as l_tax,
+      if(id % 2 = 0, 'R', 'N') as l_returnflag, 'F' as l_linestatus, timestamp_ntz'1995-01-15' + make_dt_interval(cast(id as int) % 200) as l_shipdate from range(90)""").write.parquet(str(tmp_path / "lineitem.parquet"))
+    names, write = [], staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: names.append(name) or write(df, name))
+    fx = Fixtures(spark, str(tmp_path))
+    staged = fx.staged
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(staged.features) == rows(fx.features) and staged.features.columns == fx.features.columns
+    wide = staged.view("wide_m")
+    assert rows(wide) == rows(fx.view("wide_m")) and wide.columns == fx.view("wide_m").columns and wide.where("ldr is not null").count() > 0
+    assert names == ["features"]
+
+
+def test_a_staged_table_gives_its_shuffles_back(spark):
+    import time
+    from prudens.plans import staging
+    before = spark.conf.get(staging.CLEANUP, None)
+
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    had = shuffled()
+    table = staging.stage(spark.range(5000).repartition(3, "id"), "t")
+    for _ in range(50):  # files go in the background
+        if not shuffled() - had:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - had and table.count() == 5000 and spark.conf.get(staging.CLEANUP, None) == before
